@@ -8,9 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .canonical import UNLISTED, known, map_to_catalogue
 from .components import connected_groups
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each typed project or label with the catalogue entry it means, or reported as unlisted."""
+    rows = table(spark, d, "node_subhilo_assignment").select(
+        "doc_id", F.explode(F.create_map(F.lit("objeto_original"), F.col("objeto_original"), F.lit("subhilo_primario"), F.col("subhilo_primario"))).alias("campo", "valor")
+    ).where(known(F.col("valor"))).distinct()
+    meant = map_to_catalogue(rows, "valor", table(spark, d, "subhilo_catalogo"), "subhilo_id", "nombre", "otro_nombre")
+    return rows.join(meant, "valor").select("doc_id", "campo", "subhilo_id").distinct()
+
+
+def p1_unlisted(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents name something, by field and whether it is listed."""
+    found = p1_found(spark, d)
+    listed = (F.col("subhilo_id") != UNLISTED).alias("en_catalogo")
+    return found.groupBy("campo", listed).agg(F.count_distinct("doc_id").alias("docs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Each document of the accepted links with its group."""
     return connected_groups(table(spark, d, "f2b_idf_v2_l2_edges"), "doc_i", "doc_j")
@@ -24,7 +41,7 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p5_found, p5_group_sizes)
+    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes)
 }
 
 _GROUPS = """
