@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .canonical import UNLISTED, known, map_to_catalogue
 from .components import connected_groups
+from .neardup import similar_documents
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,9 +40,14 @@ def p5_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("docs").agg(F.count("*").alias("grupos"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Articles that are lightly edited copies of one another."""
+    return similar_documents(table(spark, d, "h0000_diagnostics"), "doc_id", "contenido_completo")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes)
+    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes, p6_found)
 }
 
 _GROUPS = """
