@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import table
 from .canonical import UNLISTED, known, map_to_catalogue
 from .components import connected_groups
+from .leakage import leaked_items
 from .neardup import similar_documents
 
 
@@ -45,9 +46,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_documents(table(spark, d, "h0000_diagnostics"), "doc_id", "contenido_completo")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that carry test items, and which."""
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes, p6_found)
+    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes, p6_found, p7_found)
 }
 
 _GROUPS = """
