@@ -12,6 +12,7 @@ from .canonical import UNLISTED, known, map_to_catalogue
 from .components import connected_groups
 from .leakage import leaked_items
 from .neardup import similar_documents
+from .sentences import split_sentences
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,9 +52,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every document."""
+    return split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes, p6_found, p7_found)
+    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes, p6_found, p7_found, p9_found)
 }
 
 _GROUPS = """
