@@ -29,10 +29,12 @@ def segments(df: DataFrame, text: str, k: int) -> DataFrame:
     return x.withColumn("seg", F.substring(F.col(text), start + 1, size))
 
 
-def probes(df: DataFrame, text: str, k: int) -> DataFrame:
-    """The probing side: a row per substring that a reference within k edits may share, same three columns added."""
+def probes(df: DataFrame, text: str, k: int, shifts: tuple[int, int] | None = None) -> DataFrame:
+    """The probing side: a row per substring that a reference within k edits may share, same three columns added.
+    ``shifts`` bounds the difference in length, reference less probe, where more is known of it than k."""
+    low, high = shifts or (-k, k)
     x = df.select("*", F.length(text).alias("_len"))
-    x = x.select("*", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("_d")).withColumn("seg_n", F.col("_len") + F.col("_d"))
+    x = x.select("*", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_d")).withColumn("seg_n", F.col("_len") + F.col("_d"))
     x = x.where(F.col("seg_n") > k).select("*", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("seg_i"))
     lo = F.greatest(-F.col("seg_i"), -F.col("_d") - (k - F.col("seg_i")))
     hi = F.least(F.col("seg_i"), -F.col("_d") + (k - F.col("seg_i")))

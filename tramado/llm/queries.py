@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packed import explode_packed
 from ..sources.tables import table
 from .canonical import UNLISTED, known, map_to_catalogue
 from .components import connected_groups
 from .leakage import leaked_items
+from .names import variant_pairs
 from .neardup import similar_documents
 from .sentences import split_sentences
 
@@ -31,6 +33,13 @@ def p1_unlisted(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("campo", listed).agg(F.count_distinct("doc_id").alias("docs"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of people and organisations that name the same one."""
+    typed = table(spark, d, "f0_referent_coverage").select(F.col("llm_demandant_actor_name").alias("nombre"))
+    packed = explode_packed(table(spark, d, "h0000_02_node_metrics"), "doc_id", "actores").select(F.col("valor").alias("nombre"))
+    return variant_pairs(typed.union(packed), "nombre")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Each document of the accepted links with its group."""
     return connected_groups(table(spark, d, "f2b_idf_v2_l2_edges"), "doc_i", "doc_j")
@@ -59,7 +68,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unlisted, p5_found, p5_group_sizes, p6_found, p7_found, p9_found)
+    for f in (p1_found, p1_unlisted, p4_found, p5_found, p5_group_sizes, p6_found, p7_found, p9_found)
 }
 
 _GROUPS = """
