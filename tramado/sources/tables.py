@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, so that Python kernels run wherever it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tramado_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="tramado-"), "tramado.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(path)
+    context._tramado_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of ``folder``; a file or a folder of files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
