@@ -122,7 +122,7 @@ def _kind_of(tokens: list[str]) -> tuple[str, list[str]]:
     kind, rest, heads = "", [], False
     for t in tokens:
         k = KIND_WORDS.get(t)
-        if k is None and t not in HEADS and len(t) >= 5:
+        if k is None and t not in HEADS and len(t) >= 4:
             k = _near(t, _KIND)
         elif k is None and t in HEADS:
             k = "-"
@@ -183,7 +183,8 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, str, str]:
                 k = KIND_WORDS.get(part.strip()) or (part.strip() if part.strip() == "f" else "")
                 kind = kind or k
         if kind:
-            core = "".join(t for t in rest if t not in STOP)
+            # A mistyped "de" or "del" is no part of the name.
+            core = "".join(t for t in rest if t not in STOP and not (len(t) < 4 and ("d" in t or "e" in t) and len(rest) > 1))
             return (kind, number, "", "", core, "", "") if len(core) > 2 else _EMPTY
         if rest != tokens and not rest:
             return _EMPTY

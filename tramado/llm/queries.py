@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.packed import explode_packed
-from ..sources.tables import table
+from ..sources.tables import Scratch, table
 from .canonical import UNLISTED, known, map_to_catalogue
 from .components import connected_groups
+from .consensus import consensus
 from .leakage import leaked_items
+from .mixing import mix, quality, token_counts
 from .names import variant_pairs
 from .neardup import similar_documents
 from .sentences import split_sentences
@@ -33,6 +35,37 @@ def p1_unlisted(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("campo", listed).agg(F.count_distinct("doc_id").alias("docs"))
 
 
+LABELS = ("mismo_proceso_especifico", "mismo_macroproceso", "relacionado_tematicamente", "no_relacionado", "indeterminado")
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    """All decisions on pair cases: each decision column and each annotator is one annotator."""
+    cases = table(spark, d, "intermediate_merged_cases")
+    columns = [c for c in cases.columns if c.startswith("decision_")]
+    wide = cases.select("case_id", F.explode(F.array(*[F.struct(F.lit(c).alias("annotator_id"), F.col(c).alias("decision")) for c in columns])).alias("x"))
+    wide = wide.select("case_id", "x.annotator_id", "x.decision", F.lit(None).cast("timestamp").alias("decidido_en"))
+    return wide.union(table(spark, d, "case_labels").select("case_id", "annotator_id", "decision", "decidido_en"))
+
+
+def _consensus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return consensus(_decisions(spark, d), "case_id", "annotator_id", "decision", "decidido_en", LABELS, "indeterminado")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The consensus label of each pair case."""
+    return _consensus(spark, d)[0].select("case_id", "etiqueta")
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair case with its label, the label's probability and the share of decisions that agree."""
+    return _consensus(spark, d)[0]
+
+
+def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
+    """Each annotator with a reliability estimate."""
+    return _consensus(spark, d)[1]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Spellings of people and organisations that name the same one."""
     typed = table(spark, d, "f0_referent_coverage").select(F.col("llm_demandant_actor_name").alias("nombre"))
@@ -61,6 +94,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").withColumn("peso", quality(F.col("text")))
+    counted = token_counts(docs, "doc_id", "text", ["source", "peso"])
+    counted = Scratch(spark, "mixing").write(counted)  # each text is tokenized once
+    return mix(counted, "doc_id", "source", "peso", "tokens", table(spark, d, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture, with their copies."""
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mix(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of every document."""
     return split_sentences(table(spark, d, "documents"), "doc_id", "text")
@@ -68,7 +118,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_unlisted, p4_found, p5_found, p5_group_sizes, p6_found, p7_found, p9_found)
+    for f in (
+        p1_found, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p5_found, p5_group_sizes, p6_found,
+        p7_found, p8_mix, p8_shares, p9_found,
+    )
 }
 
 _GROUPS = """
