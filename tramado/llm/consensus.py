@@ -2,6 +2,8 @@
 
 Each label is either truthful, with the annotator's competence as probability, or drawn from the annotator's own guess
 distribution. Expectation-maximisation yields the true labels' probabilities, competences and guess distributions.
+Some annotators guess by a habit that depends on the item (one grade too low, say). So a guess distribution may differ
+by true label where an annotator's labels show it: it is drawn towards the annotator's common one with weight ``COMMON``.
 
 The labels of an item are packed into one row once. An iteration is one pass: every batch adds up what its items expect
 of each annotator and label, partial sums meet in one small aggregation, and the parameters (annotators x labels
@@ -24,12 +26,13 @@ from ..sources.tables import Scratch
 ROUNDS = 40
 CLOSE = 1e-3
 SMOOTH = 0.1
+COMMON = 10
 
 
 @dataclass
 class Parameters:
     competence: np.ndarray
-    guess: np.ndarray
+    guess: np.ndarray  # annotator, true label, label given
     prior: np.ndarray
 
 
@@ -46,50 +49,53 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(batch.num_rows), size), who.flatten().to_numpy(), what.flatten().to_numpy()
 
 
-def _posterior(p: Parameters, n: int, item: np.ndarray, who: np.ndarray, what: np.ndarray) -> np.ndarray:
-    k = len(p.prior)
-    guess = (1 - p.competence[who]) * p.guess[who, what]
-    base = np.log(guess)
-    log = np.log(p.prior)[None, :] + np.bincount(item, base, n)[:, None]
-    np.add.at(log, (item, what), np.log(p.competence[who] + guess) - base)
+def _posterior(p: Parameters, n: int, item: np.ndarray, who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each true label by item, and of each label given being truthful."""
+    row = np.arange(len(item))
+    likely = (1 - p.competence[who])[:, None] * p.guess[who, :, what]
+    likely[row, what] += p.competence[who]
+    log = np.repeat(np.log(p.prior)[None, :], n, 0)
+    np.add.at(log, item, np.log(likely))
     log -= log.max(1, keepdims=True)
     post = np.exp(log)
-    return post / post.sum(1, keepdims=True) if k else post
+    post /= post.sum(1, keepdims=True)
+    return post, post[item, what] * p.competence[who] / likely[row, what]
 
 
 def _expect(items: DataFrame, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected truthful and guessed labels by annotator and label, and expected items by label."""
-    j, k = p.guess.shape
+    """Expected truthful labels by annotator, guesses by annotator, true label and label given, items by true label."""
+    j, k = p.guess.shape[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true, spam, of = np.zeros((j, k)), np.zeros((j, k)), np.zeros(k)
+        true, spam, of = np.zeros(j), np.zeros((j, k, k)), np.zeros(k)
         for batch in batches:
             item, who, what = _rows(batch)
-            post = _posterior(p, batch.num_rows, item, who, what)
-            guess = (1 - p.competence[who]) * p.guess[who, what]
-            share = post[item, what] * p.competence[who] / (p.competence[who] + guess)
-            np.add.at(true, (who, what), share)
-            np.add.at(spam, (who, what), 1 - share)
+            post, share = _posterior(p, batch.num_rows, item, who, what)
+            np.add.at(true, who, share)
+            guess = post[item]
+            guess[np.arange(len(item)), what] -= share
+            np.add.at(spam, (who, slice(None), what), guess)
             of += post.sum(0)
-        at = np.arange((j + 1) * k)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate((true.ravel(), of))), pa.array(np.concatenate((spam.ravel(), 0 * of)))], ["at", "true", "spam"])
+        out = np.concatenate((true, spam.ravel(), of))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["at", "x"])
 
-    rows = items.mapInArrow(run, "at long, true double, spam double").groupBy("at").agg(F.sum("true").alias("true"), F.sum("spam").alias("spam")).collect()
-    true, spam = np.zeros((j + 1) * k), np.zeros((j + 1) * k)
-    for r in rows:
-        true[r["at"]], spam[r["at"]] = r["true"], r["spam"]
-    return true[: j * k].reshape(j, k), spam[: j * k].reshape(j, k), true[j * k :]
+    total = np.zeros(j + j * k * k + k)
+    for r in items.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        total[r["at"]] = r["x"]
+    return total[:j], total[j : j + j * k * k].reshape(j, k, k), total[j + j * k * k :]
 
 
 def fit(items: DataFrame, annotators: int, labels: int) -> Parameters:
     """Parameters fitted to ``items`` (columns who, what: arrays of annotator and label numbers). The start treats all
     annotators alike, so the first posterior is close to a vote."""
-    p = Parameters(np.full(annotators, 0.7), np.full((annotators, labels), 1 / labels), np.full(labels, 1 / labels))
+    p = Parameters(np.full(annotators, 0.7), np.full((annotators, labels, labels), 1 / labels), np.full(labels, 1 / labels))
     for _ in range(ROUNDS):
         true, spam, of = _expect(items, p)
-        n = true.sum(1) + spam.sum(1)
-        competence = np.clip((true.sum(1) + SMOOTH) / (n + 2 * SMOOTH), 1e-4, 1 - 1e-4)
-        guess = (spam + SMOOTH) / (spam + SMOOTH).sum(1, keepdims=True)
+        n = true + spam.sum((1, 2))
+        competence = np.clip((true + SMOOTH) / (n + 2 * SMOOTH), 1e-4, 1 - 1e-4)
+        common = spam.sum(1) + SMOOTH
+        common /= common.sum(1, keepdims=True)
+        guess = (spam + COMMON * common[:, None, :]) / (spam.sum(2, keepdims=True) + COMMON)
         prior = (of + 1) / (of + 1).sum()
         moved = np.abs(competence - p.competence).max() if annotators else 0
         p = Parameters(competence, guess, prior)
@@ -128,7 +134,7 @@ def consensus(decisions: DataFrame, item: str, annotator: str, label: str, when:
     def label_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, j, k = _rows(batch)
-            post = _posterior(p, batch.num_rows, i, j, k)
+            post, _ = _posterior(p, batch.num_rows, i, j, k)
             best = post.argmax(1)
             n = np.bincount(i, minlength=batch.num_rows)
             agree = np.bincount(i, k == best[i], batch.num_rows) / np.maximum(n, 1)
