@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packed
+from . import corpus, packed
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**packed.QUERIES}
+    return {**packed.QUERIES, **corpus.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**corpus.ORACLE}
