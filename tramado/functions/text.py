@@ -119,9 +119,8 @@ def first_rule(key: Column, rules: list[tuple[str, str]], otherwise: str) -> tup
     return F.coalesce(label, F.lit(otherwise)), pattern
 
 
-def family(action: Column) -> Column:
-    """Procedure family of an action; ``otro`` if no keyword is in it."""
-    key = base_key(action)
+def family_of(key: Column) -> Column:
+    """Procedure family of an action's key; ``otro`` if no keyword is in it."""
     out = F.lit("otro")
     for name, words in reversed(FAMILIES.items()):
         hit = key.contains(words[0])

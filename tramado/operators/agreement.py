@@ -22,7 +22,7 @@ def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of label pairs with all labels as rows and columns, those without cases too."""
     spark = df.sparkSession
     every = spark.createDataFrame([(x,) for x in LABELS], "etiqueta string")
-    got = df.groupBy(F.col(a).alias("etiqueta")).pivot(b, list(LABELS)).agg(F.count("*"))
+    got = df.groupBy(F.col(a).alias("etiqueta")).pivot(b, list(LABELS)).agg(F.count(F.lit(1)))
     return every.join(got, "etiqueta", "left").na.fill(0, list(LABELS))
 
 

@@ -60,20 +60,23 @@ def apply_aliases(refs: DataFrame, alias: DataFrame) -> DataFrame:
 
 def records(docs: DataFrame) -> DataFrame:
     """Five general categories of a document: installation, territory, organisations, procedure and phase."""
-    project = T.base_key(F.col("llm_project_name"))
-    place = T.base_key(F.col("llm_main_conflict_place_name"))
-    kind = T.strip(F.coalesce("llm_main_conflict_place_type", F.lit("")))
-    fam = T.family(F.col("llm_contentious_action_type"))
-    organisations = F.filter(F.array(T.base_key(F.col("llm_demandant_actor_name")), T.base_key(F.col("llm_demanded_actor_name"))), lambda v: v.isNotNull())
-    date = F.nullif(F.substring("fecha_iso", 1, 10), F.lit(""))
-    return docs.select(
+    # Keys first, each once; what combines them comes in a second step.
+    keys = {"p": "llm_project_name", "l": "llm_main_conflict_place_name", "c": "geo_comuna", "v": "geo_provincia", "r": "geo_region", "x": "llm_demandant_actor_name", "y": "llm_demanded_actor_name", "a": "llm_contentious_action_type"}
+    x = docs.select(
         F.col("id").alias("doc_id"),
-        F.coalesce(project, F.when(kind.isin(*T.FACILITIES), place)).alias("proyecto"),
-        F.coalesce(place, *[T.base_key(F.col(c)) for c in ("geo_comuna", "geo_provincia", "geo_region")]).alias("territorio"),
-        T.packed_set(organisations).alias("organizacion"),
-        T.base_key(F.col("llm_contentious_action_type")).alias("procedimiento"),
-        fam.alias("familia"),
-        F.concat_ws("::", fam, F.coalesce(F.substring(date, 1, 7), F.lit("sin_fecha"))).alias("fase"),
+        T.strip(F.coalesce("llm_main_conflict_place_type", F.lit(""))).alias("t"),
+        F.nullif(F.substring("fecha_iso", 1, 10), F.lit("")).alias("d"),
+        *[T.base_key(F.col(c)).alias(k) for k, c in keys.items()],
+    )
+    x = x.withColumn("familia", T.family_of(F.col("a")))
+    return x.select(
+        "doc_id",
+        F.coalesce("p", F.when(F.col("t").isin(*T.FACILITIES), F.col("l"))).alias("proyecto"),
+        F.coalesce("l", "c", "v", "r").alias("territorio"),
+        T.packed_set(F.filter(F.array("x", "y"), lambda v: v.isNotNull())).alias("organizacion"),
+        F.col("a").alias("procedimiento"),
+        "familia",
+        F.concat_ws("::", "familia", F.coalesce(F.substring("d", 1, 7), F.lit("sin_fecha"))).alias("fase"),
     )
 
 

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, packed
+from . import corpus, packed, review, threads
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return packed.p2_found(spark, d)
+    return threads.thread_flagship(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**packed.QUERIES, **corpus.QUERIES}
+    return {**packed.QUERIES, **corpus.QUERIES, **threads.QUERIES, **review.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**corpus.ORACLE}
+    return {**corpus.ORACLE, **threads.ORACLE, **review.ORACLE}
