@@ -160,7 +160,7 @@ def graph_heterogeneous(spark: SparkSession, d: str) -> DataFrame:
     pairs = lambda keys: n.groupBy("rep", *keys).agg(F.sum("n").alias("n")).groupBy("rep").agg(F.sum(S.pairs_of(F.col("n"))).alias("p"))
     out = None
     for sign, keys in ((1, ["doc_id"]), (-1, ["doc_id", "objeto"]), (-1, ["doc_id", "territorio"]), (1, ["doc_id", "objeto", "territorio"])):
-        x = pairs(keys).select("rep", (F.col("p") * sign).alias("p"), (F.col("p") * (len(keys) == 1)).alias("caminos"))
+        x = pairs(keys).select("rep", (F.col("p") * sign).alias("p"), (F.col("p") * int(len(keys) == 1)).alias("caminos"))
         out = x if out is None else out.union(x)
     return out.groupBy("rep").agg(F.sum("caminos").cast("long").alias("caminos"), F.sum("p").cast("long").alias("heterogeneos"))
 
