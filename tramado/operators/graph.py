@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from ..sources.tables import Scratch
 
+BUNDLE = 20_000
+
 
 def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """``(*keys, doc_id, comp)`` for the ends of ``edges`` (columns a, b): the smallest id of its component.
@@ -115,9 +117,9 @@ def cores(edges: DataFrame) -> DataFrame:
 
 # Traversals run per component, as one kernel each. A component goes to one task, so its size is bounded: the caller says
 # up to how many edges, and larger components are left to the operators above.
-def _adjacency(pdf: pd.DataFrame) -> dict[str, list[str]]:
+def _adjacency(a_: list[str], b_: list[str]) -> dict[str, list[str]]:
     near: dict[str, list[str]] = {}
-    for a, b in zip(pdf["a"], pdf["b"]):
+    for a, b in zip(a_, b_):
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
     return {v: sorted(n) for v, n in sorted(near.items())}
@@ -176,39 +178,53 @@ def lowlinks(near: dict[str, list[str]]) -> tuple[set[tuple[str, str]], set[str]
     return bridges, cuts, blocks, below
 
 
-def _bounded(edges: DataFrame, comps: DataFrame, most: int) -> DataFrame:
-    e = edges.join(comps.withColumnRenamed("doc_id", "a"), "a")
-    small = e.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("comp")
-    return e.join(small, "comp").select("comp", "a", "b", "w")
+def _per_component(edges: DataFrame, comps: DataFrame, most: int, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(comp, a, b, w)`` for each component of at most ``most`` edges; it returns rows. Components are bundled by
+    hash into groups of about ``BUNDLE`` edges, since most are small and a group costs a few milliseconds."""
+    e = edges.join(comps.withColumnRenamed("doc_id", "a"), "a").select("comp", "a", "b", "w")
+    size = e.groupBy("comp").agg(F.count("*").alias("n"))
+    small = size.where(F.col("n") <= most).select("comp")
+    bundles = edges.count() // BUNDLE + edges.sparkSession.sparkContext.defaultParallelism
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["comp", "a", "b"])
+        comp, a, b, w = (pdf[c].tolist() for c in ("comp", "a", "b", "w"))
+        out, start = [], 0
+        for i in range(1, len(comp) + 1):
+            if i == len(comp) or comp[i] != comp[start]:
+                out += kernel(comp[start], a[start:i], b[start:i], w[start:i])
+                start = i
+        return pd.DataFrame(out, columns=names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    bundle = F.pmod(F.xxhash64("comp"), F.lit(bundles)).alias("_bundle")
+    return e.join(small, "comp").select("comp", "a", "b", "w", bundle).groupBy("_bundle").applyInPandas(run, schema)
 
 
 def vertex_structure(edges: DataFrame, comps: DataFrame, most: int = 200_000) -> DataFrame:
     """``(comp, doc_id, articulacion, bicomponentes)`` for components of at most ``most`` edges."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = _adjacency(pdf)
+    def kernel(comp, a, b, w):
+        near = _adjacency(a, b)
         _, cuts, blocks, _ = lowlinks(near)
         member = dict.fromkeys(near, 0)
-        for b in blocks:
-            for v in b:
+        for block in blocks:
+            for v in block:
                 member[v] += 1
-        return pd.DataFrame({"comp": pdf["comp"].iloc[0], "doc_id": list(near), "articulacion": [v in cuts for v in near], "bicomponentes": list(member.values())})
+        return [(comp, v, v in cuts, n) for v, n in member.items()]
 
-    return _bounded(edges, comps, most).groupBy("comp").applyInPandas(run, "comp string, doc_id string, articulacion boolean, bicomponentes int")
+    return _per_component(edges, comps, most, kernel, "comp string, doc_id string, articulacion boolean, bicomponentes int")
 
 
 def bridges(edges: DataFrame, comps: DataFrame, most: int = 200_000) -> DataFrame:
     """``(comp, a, b, w, lado_menor)``: edges whose loss splits a component, and the size of the smaller part."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = _adjacency(pdf)
+    def kernel(comp, a, b, w):
+        near = _adjacency(a, b)
         found, _, _, below = lowlinks(near)
-        keep = [(a, b) in found for a, b in zip(pdf["a"], pdf["b"])]
-        out = pdf.loc[keep, ["comp", "a", "b", "w"]].copy()
-        out["lado_menor"] = [min(below[(a, b)], len(near) - below[(a, b)]) for a, b in zip(out["a"], out["b"])]
-        return out
+        return [(comp, *e, x, min(below[e], len(near) - below[e])) for e, x in zip(zip(a, b), w) if e in found]
 
-    return _bounded(edges, comps, most).groupBy("comp").applyInPandas(run, "comp string, a string, b string, w double, lado_menor long")
+    return _per_component(edges, comps, most, kernel, "comp string, a string, b string, w double, lado_menor long")
 
 
 def _distances(near: dict[str, list[str]], source: str) -> dict[str, int]:
@@ -221,24 +237,24 @@ def _distances(near: dict[str, list[str]], source: str) -> dict[str, int]:
 def path_lengths(edges: DataFrame, comps: DataFrame, most: int = 20_000) -> DataFrame:
     """``(comp, largo, pares)``: pairs by length of the shortest path, for components of at most ``most`` edges."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = _adjacency(pdf)
+    def kernel(comp, a, b, w):
+        near = _adjacency(a, b)
         count: dict[int, int] = {}
         for v in near:
             for x, d in _distances(near, v).items():
                 if v < x:
                     count[d] = count.get(d, 0) + 1
-        return pd.DataFrame({"comp": pdf["comp"].iloc[0], "largo": list(count), "pares": list(count.values())})
+        return [(comp, d, n) for d, n in count.items()]
 
-    return _bounded(edges, comps, most).groupBy("comp").applyInPandas(run, "comp string, largo int, pares long")
+    return _per_component(edges, comps, most, kernel, "comp string, largo int, pares long")
 
 
 def edge_betweenness(edges: DataFrame, comps: DataFrame, most: int = 20_000) -> DataFrame:
     """``(comp, a, b, intermediacion)``: share of shortest paths of a component's pairs that use the edge."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = _adjacency(pdf)
-        score = {(a, b): 0.0 for a, b in zip(pdf["a"], pdf["b"])}
+    def kernel(comp, a, b, w):
+        near = _adjacency(a, b)
+        score = dict.fromkeys(zip(a, b), 0.0)
         for s in near:
             paths, dist, order, ring = {s: 1.0}, {s: 0}, [s], [s]
             while ring:
@@ -261,9 +277,9 @@ def edge_betweenness(edges: DataFrame, comps: DataFrame, most: int = 20_000) ->
                         load[v] += flow
                         score[(min(v, x), max(v, x))] += flow
         n = len(near)
-        return pd.DataFrame({"comp": pdf["comp"].iloc[0], "a": [e[0] for e in score], "b": [e[1] for e in score], "intermediacion": [x / (n * (n - 1)) for x in score.values()]})
+        return [(comp, *e, x / (n * (n - 1))) for e, x in score.items()]
 
-    return _bounded(edges, comps, most).groupBy("comp").applyInPandas(run, "comp string, a string, b string, intermediacion double")
+    return _per_component(edges, comps, most, kernel, "comp string, a string, b string, intermediacion double")
 
 
 # Community detection. All methods move single vertices to the neighbouring community that gains most, until none gains,
@@ -381,13 +397,13 @@ def communities(edges: DataFrame, comps: DataFrame, method: str, seeds: Iterable
     numbered by their smallest member. Components of more than ``most`` edges are left out."""
     seeds = list(seeds)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(comp, a_, b_, w_):
         near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(pdf["a"], pdf["b"], pdf["w"]):
+        for a, b, w in zip(a_, b_, w_):
             near.setdefault(a, {})[b] = w
             near.setdefault(b, {})[a] = w
         near = dict(sorted(near.items()))
-        n, m = len(near), len(pdf)
+        n, m = len(near), len(a_)
         out = []
         for s in seeds:
             if method == "infomap":
@@ -397,10 +413,10 @@ def communities(edges: DataFrame, comps: DataFrame, method: str, seeds: Iterable
                 label = _levels(near, method, r, s)
             name: dict[str, int] = {}
             for v in near:
-                out.append((pdf["comp"].iloc[0], s, v, name.setdefault(label[v], len(name))))
-        return pd.DataFrame(out, columns=["comp", "semilla", "doc_id", "comunidad"])
+                out.append((comp, s, v, name.setdefault(label[v], len(name))))
+        return out
 
-    return _bounded(edges, comps, most).groupBy("comp").applyInPandas(run, "comp string, semilla int, doc_id string, comunidad int")
+    return _per_component(edges, comps, most, kernel, "comp string, semilla int, doc_id string, comunidad int")
 
 
 def coassignment(runs: DataFrame, edges: DataFrame) -> DataFrame:
