@@ -5,6 +5,8 @@ Built-in expressions only, evaluated row by row: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ _QUOTED = "^(?:\"(?s:.*)\"|'(?s:.*)'|«(?s:.*)»|“(?s:.*)”)$"
 _HARD = "[;|\\n\\r\\t•\\u2028]+|\\s/\\s"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: what a lambda refers to from outside is computed per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _trim(c: Column) -> Column:
     return F.regexp_replace(c, _BLANKS, "")
 
@@ -52,31 +59,34 @@ def split_packed(field: Column) -> Column:
 
     Null, empty and blank fields give an empty array. Quotes that never close separate nothing and stay as they are.
     """
-    spans = F.regexp_extract_all(field, F.lit(_SPANS), 0)
-    pieces = F.split(field, _SPANS, -1)
-    masked = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(p),
-        ),
-        "",
-    )
-    body = F.regexp_replace(_trim(masked), "^\\[(?s:(.*))\\]$", "$1")
-    body = (
+    def mask(spans: Column) -> Column:
+        mark = lambda p, i: F.when(i < F.size(spans), F.concat(p, F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))).otherwise(p)
+        return F.array_join(F.transform(F.split(field, _SPANS, -1), mark), "")
+
+    def separate(body: Column) -> Column:
+        cut = F.transform(F.split(body, f"{_HARD}|{_CUT}", -1), lambda v: F.regexp_replace(_trim(v), "^[-*–·‣▪]\\s+", ""))
+        return F.filter(cut, lambda v: F.length(v) > 0)
+
+    def commas(cut: Column) -> Column:
+        # Trailing or doubled marks separate nothing: a field of which they leave one value is still cut at commas.
+        one = F.filter(F.transform(F.split(F.get(cut, F.lit(0)), ",", -1), _trim), lambda v: F.length(v) > 0)
+        return F.when(F.size(cut) == 1, one).otherwise(cut)
+
+    def values(spans: Column) -> Column:
+        body = _let(F.regexp_replace(_trim(mask(spans)), "^\\[(?s:(.*))\\]$", "$1"), _unnumbered)
+        cut = _let(_let(body, separate), commas)
+        return F.filter(F.transform(cut, lambda v: _let(_restore(v, spans), _unquote)), lambda v: F.length(v) > 0)
+
+    return F.coalesce(_let(F.regexp_extract_all(field, F.lit(_SPANS), 0), values), F.array().cast("array<string>"))
+
+
+def _unnumbered(body: Column) -> Column:
+    """The marks of a numbered list become cuts."""
+    return (
         F.when(body.rlike("^\\s*1\\)\\s"), F.regexp_replace(body, "(?:^|(?<=[\\s;,|]))\\d{1,3}\\)\\s+", _CUT))
         .when(body.rlike("^\\s*1\\.\\s"), F.regexp_replace(body, "(?:^|(?<=[\\s;,|]))\\d{1,3}\\.\\s+", _CUT))
         .otherwise(body)
     )
-    hard = F.split(body, f"{_HARD}|{_CUT}", -1)
-    cut = F.filter(
-        F.transform(hard, lambda v: F.regexp_replace(_trim(v), "^[-*–·‣▪]\\s+", "")), lambda v: F.length(v) > 0
-    )
-    # Trailing or doubled marks separate nothing: a field of which they leave one value is still cut at commas.
-    cut = F.when(
-        F.size(cut) == 1, F.filter(F.transform(F.split(cut[0], ",", -1), _trim), lambda v: F.length(v) > 0)
-    ).otherwise(cut)
-    values = F.transform(cut, lambda v: _unquote(_restore(v, spans)))
-    return F.coalesce(F.filter(values, lambda v: F.length(v) > 0), F.array().cast("array<string>"))
 
 
 def explode_packed(df: DataFrame, key: str, field: str) -> DataFrame:
