@@ -7,7 +7,7 @@ features: the marks, their neighbours, quotation, layout, and the words and lett
 tied by weights of their tags and distance. All texts of a batch are read as one array of code points.
 
 The weights are fitted here, on a bounded sample of documents. Labels come from what is certain in punctuated text and
-layout (``_certain``); for scripts without full stops the sample is stripped of punctuation first, so that the model
+layout (``certain``), which also enters as a prior, so that marks and scripts the sample lacks are still read; for scripts without full stops the sample is stripped of punctuation first, so that the model
 learns ends from letters and layout alone.
 """
 
@@ -30,6 +30,7 @@ WRAP = 110
 NARROW = 70
 SLACK = 10
 TIE = 0.2
+PRIOR = 2.0
 _END = "\x1e"
 OTHER, LOWER, UPPER, DIGIT, UNCASED, OPEN, SPACE, LINE, STOP, CLOSE, COMMA, DASH, SEP = range(13)
 # Marks by what they do.
@@ -42,7 +43,7 @@ BULLETS = "-*•–·‣▪◦"
 BEFORE_NAMES = (
     "sr sra srta srs sres dr dra drs dres ing lic prof profa arq abg cdte cnel gral cap tte sgto mr mrs ms st sta sto fr "
     "hon gov sen rep gen col lt capt mons pbro av avda depto dept dto ee d u z vgl bzw nr hr fr frl mme mlle mgr me "
-    "डॉ श्री श्रीमती सं रु प्रो कु д г"
+    "डॉ श्री श्रीमती सं रु प्रो कु أ وأ د ود م وم"
 ).split()
 BEFORE_NUMBERS = "art arts fig figs pag pags pp p n no nos num nro nº cap vol aprox approx ca env cf abs sec sect par parr inc ed etapa tel ext min max".split()
 MONTHS = "januar februar marz april mai juni juli august september oktober november dezember janner".split()
@@ -299,7 +300,7 @@ class Places:
         tight = self.stop & (gap == 0) & ~self.ellipsis
         y |= tight & self.full & ~np.isin(nk, (COMMA, CLOSE, STOP))
         y |= tight & ~self.full & ~self.dot & (quiet | up)
-        y |= tight & self.dot & (nk == UPPER) & self.next_low & ((self.k[np.maximum(self.head - 1, 0)] == LOWER) | self.inner | self.digits) & ~title
+        y |= tight & self.dot & (nk == UPPER) & self.next_low & (np.isin(self.k[np.maximum(self.head - 1, 0)], (LOWER, DASH, CLOSE)) | self.inner | self.digits) & ~title
         y |= tight & self.dot & (nk == OPEN) & (self.pk == STOP) & ~title
         # Words that report a quotation belong to it.
         y &= ~(self.quote & quiet & (self.quote_first | self.to))
@@ -353,7 +354,7 @@ class Model:
             p = order.permutation(len(y))
             for a in range(0, len(p), 256):
                 i = p[a : a + 256]
-                err = y[i] - 1 / (1 + np.exp(-(w[f[i]] * scale).sum(1)))
+                err = y[i] - 1 / (1 + np.exp(-(w[f[i]] * scale).sum(1) - PRIOR * (2 * y[i] - 1)))
                 np.add.at(w, f[i], err[:, None] * scale * step[f[i]] * 4)
             w *= 1 - decay
         self.w = w.astype(np.float32)
@@ -377,7 +378,7 @@ class Model:
         m = len(p.b)
         if not m:
             return np.zeros(0, bool)
-        score = (self.w[p.features()] * self.scale).sum(1).astype(np.float64)
+        score = (self.w[p.features()] * self.scale).sum(1) + PRIOR * (2.0 * p.certain() - 1)
         score[(p.gap == 3) | p.final] = 1e6
         score[np.isin(p.nk, (COMMA, CLOSE)) & (p.gap < 2) | (p.nk == LOWER) & (p.gap < 3) & ~p.entry] = -1e6
         score[p.mark | p.month | (p.gap < 3) & p.dot & ~p.quote & ~p.final & (p.name | p.number & (p.nk == DIGIT))] = -1e6
