@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .order import running_total
+
 
 def ticket(seed: int | str, *ids: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *ids))
@@ -34,14 +36,13 @@ def quintiles(df: DataFrame, value: str) -> DataFrame:
     """Column ``quintil`` 1 to 5: how many of the four cut points a value reaches, a cut being the value at place
     floor(n k / 5). Equal values are in one quintile. Places come from counts of equal values."""
     n = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.orderBy(value))
-    total = F.sum("c").over(W.partitionBy(F.lit(1)))
-    x = n.withColumns({"hi": upto, "n": total})
-    cut = [F.min(F.when(F.col("hi") > F.floor(F.col("n") * k / 5), F.col(value))).over(W.partitionBy(F.lit(1))) for k in (1, 2, 3, 4)]
+    places = running_total(n, [F.col(value)], F.col("c"), "hi")
+    total = places.agg(F.sum("c")).first()[0] or 0
+    cuts = places.agg(*[F.min(F.when(F.col("hi") > total * k // 5, F.col(value))).alias(str(k)) for k in (1, 2, 3, 4)]).first()
     q = F.lit(1)
-    for c in cut:
-        q = q + (F.col(value) >= c).cast("int")
-    return df.join(x.select(value, q.alias("quintil")), value, "left")
+    for c in cuts:
+        q = q + F.when(F.col(value) >= F.lit(c), 1).otherwise(0)
+    return df.withColumn("quintil", F.when(F.col(value).isNotNull(), q))
 
 
 def drop_share(df: DataFrame, percent: int, replicates: int, seed: int, *ids: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from .order import ordinal, running_total
 
 
 def gaps(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,7 +54,7 @@ def pseudo_threads(docs: DataFrame, sizes: DataFrame, replicates: int, seed: int
     """Null N2: ``(n, rep, doc_id, fecha)``, uniform sets of ``n`` documents, drawn once per distinct size. Slots are
     hashed to positions, a few more than needed; repeats are dropped and the first ``n`` kept, so the cost is sizes
     times draws, not times documents."""
-    pos = docs.withColumn("pos", F.row_number().over(W.orderBy("doc_id")) - 1)
+    pos = ordinal(docs, [F.col("doc_id")], "pos").withColumn("pos", F.col("pos") - 1)
     total = docs.count()
     d = sizes.select("n").distinct().select("n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     d = d.select("n", "rep", F.explode(F.sequence(F.lit(1), F.col("n") + F.greatest(F.lit(4), F.ceil(F.col("n") * F.col("n") / F.lit(max(total, 1))) * 2).cast("long"))).alias("slot"))
@@ -134,8 +135,7 @@ def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:
     """Two-sided test of ``value`` between rows where the boolean ``group`` holds or not: U of the true group, z with tie
     and continuity correction, p by the normal approximation. Ranks come from counts of equal values."""
     v = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("t"), F.count_if(F.col(group)).alias("a"))
-    below = F.coalesce(F.sum("t").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = v.withColumn("rank", below + (F.col("t") + 1) / 2)
+    r = running_total(v, [F.col(value)], F.col("t"), "upto").withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     s = r.agg(F.sum("t").alias("n"), F.sum("a").alias("n1"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     n, n1 = F.col("n"), F.col("n1")
     n2, u = n - n1, F.col("r1") - n1 * (n1 + 1) / 2

@@ -8,16 +8,14 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..functions import text as T
+from .order import ordinal
 
 
-def numbered(comps: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Components with a thread id: larger first, then by smallest document. The window runs over components, one row
-    each, not over documents."""
-    keys = keys or []
-    size = comps.groupBy(*keys, "comp").agg(F.count("*").alias("n"))
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(F.desc("n"), "comp")
-    name = size.withColumn("hilo", T.padded_id("H", 4, F.row_number().over(w) - 1))
-    return comps.join(name, [*keys, "comp"]).select(*keys, "doc_id", "comp", "hilo", "n")
+def numbered(comps: DataFrame) -> DataFrame:
+    """Components with a thread id: larger first, then by smallest document."""
+    size = comps.groupBy("comp").agg(F.count("*").alias("n"))
+    name = ordinal(size, [-F.col("n"), F.col("comp")], "r").select("comp", "n", T.padded_id("H", 4, F.col("r") - 1).alias("hilo"))
+    return comps.join(name, "comp").select("doc_id", "comp", "hilo", "n")
 
 
 def grid_summary(edges: DataFrame, comps: DataFrame, docs: int | Column, near_days: int = 365, least: int = 3, cap: float = 0.3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -12,16 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per session, so that Python kernels run wherever it isn't installed."""
+    """Give the executors this package, once per session, so that Python kernels run wherever it isn't installed. The
+    archive goes to the shared folder."""
     context = spark.sparkContext
     if getattr(context, "_tramado_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="tramado-"), "tramado.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
-    context.addPyFile(path)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{working_folder(spark)}/package-{uuid.uuid4().hex}/tramado.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    context.addPyFile(path.toString())
     context._tramado_shipped = True
 
 
