@@ -236,7 +236,7 @@ class Places:
         till = edges[np.minimum(np.searchsorted(edges, to), len(edges) - 1)] if len(edges) else to
         self.month[dated] = np.isin(hash_words(lc, to, till), _months())
         after = k[np.minimum(nx + 1, n - 1)]
-        self.next_low = after == LOWER
+        self.next_low = np.isin(after, (LOWER, SPACE, LINE))  # a capital that starts a word, or is one
         self.bare = _unpunctuated(c[np.maximum(b_all - 1, 0)]) & _unpunctuated(nc)
         self.near_bare = _unpunctuated(c[np.maximum(b_all - 1, 0)]) | _unpunctuated(nc)
         self.kg = _is(nc, "K") & (_is(c[np.minimum(nx + 1, n - 1)], "G"))
