@@ -113,7 +113,7 @@ def text_extraction(spark: SparkSession, d: str) -> DataFrame:
         F.nullif(F.regexp_extract(text, "acta ([0-9]+)", 1), F.lit("")).alias("acta"),
         F.nullif(F.regexp_extract(text, "kilómetros de ([A-Z][a-z]+(?: [A-Z][a-z]+)?)", 1), F.lit("")).alias("lugar"),
         F.when(F.size(titles) > 0, F.element_at(titles, -1)).alias("ultimo"),
-        (F.size(F.split(text, "La empresa ")) - 1).alias("bloques"),
+        (F.size(F.split(text, "La empresa ")) - 1).cast("long").alias("bloques"),
     )
 
 

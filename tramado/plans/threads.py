@@ -290,6 +290,7 @@ _PSEUDO = (
     "pd AS (SELECT n, rep, (max(fecha) - min(fecha))::INT AS dur, count(*) AS docs FROM pick JOIN pos USING (pos) WHERE k <= n GROUP BY ALL)"
 )
 ORACLE = {
+    "thread_flagship": Q.query(Q.DOCS, Q.REFS, _IDF, _SCORED, "acc AS (SELECT doc_i AS a, doc_j AS b FROM scored WHERE s_ref >= 0.35 AND (dias <= 365 OR s_ref >= 0.5))", Q.components("acc"), Q.THREADS, "SELECT hilo, count(*) AS docs, min(fecha)::VARCHAR AS desde, max(fecha)::VARCHAR AS hasta FROM threads JOIN (SELECT DISTINCT doc_id, fecha FROM refs) r USING (doc_id) WHERE n >= 3 GROUP BY 1"),
     "pair_frequencies": Q.query(Q.DOCS, Q.REFS, _IDF, "SELECT tipo, referente, df, hub, round(idf, 6) AS idf FROM freq"),
     "pair_scored": Q.query(Q.DOCS, Q.REFS, _IDF, _SCORED, "SELECT doc_i, doc_j, dias, round(s_ref, 6) AS s_ref FROM scored"),
     "pair_bands": Q.query(Q.EDGES, "SELECT CASE WHEN w < 0.40 THEN 'rechazada' WHEN w < 0.45 THEN 'casi' WHEN w < 0.47 THEN 'apenas' ELSE 'segura' END AS banda, CASE WHEN dias > 365 THEN CASE WHEN s_ref >= 0.5 AND s_ref < 0.6 THEN 'larga_debil' ELSE 'larga' END ELSE 'corta' END AS tramo, count(*) AS aristas, round(avg(w), 6) AS w_medio FROM edges GROUP BY ALL"),

@@ -261,6 +261,7 @@ ORACLE = {
     "community_given": "WITH one AS (SELECT doc_id, min(comunidad_louvain) AS x, min(comunidad_infomap) AS y FROM h0000_02_node_metrics GROUP BY 1), c AS (SELECT x, y, count(*) AS m FROM one WHERE doc_id IS NOT NULL GROUP BY ALL), p AS (SELECT (SELECT sum(m)::BIGINT FROM c) AS n, (SELECT count(DISTINCT coalesce(x::VARCHAR, '?')) FROM c) AS ka, (SELECT count(DISTINCT coalesce(y::VARCHAR, '?')) FROM c) AS kb, (SELECT sum(m * (m - 1) / 2) FROM c) AS pab, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(m) AS m FROM c GROUP BY x)) AS pa, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(m) AS m FROM c GROUP BY y)) AS pb, (SELECT -sum(m / t * ln(m / t)) FROM (SELECT m, sum(m) OVER () AS t FROM c)) AS hab, (SELECT -sum(m / t * ln(m / t)) FROM (SELECT sum(m) AS m, sum(sum(m)) OVER () AS t FROM c GROUP BY x)) AS ha, (SELECT -sum(m / t * ln(m / t)) FROM (SELECT sum(m) AS m, sum(sum(m)) OVER () AS t FROM c GROUP BY y)) AS hb) SELECT n AS docs, ka AS grupos_a, kb AS grupos_b, round((pab - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 6) AS ari, round((ha + hb - hab) / ((ha + hb) / 2), 6) AS nmi, round(2 * hab - ha - hb, 6) AS vi FROM p",
     "graph_long_edges": Q.query(Q.EDGES, _U_TEST, "SELECT n, n1, u, round(greatest(abs(u - n1 * (n - n1) / 2) - 0.5::DOUBLE, 0) / sqrt(n1 * (n - n1) / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM m"),
     "emb_neighbours": f"WITH {_UNIT}, c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0) SELECT vec_id, vecino, round(coseno, 6) AS coseno FROM k WHERE r <= 5",
+    "emb_graph": Q.query(_UNIT, "c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.3)", Q.components("e"), "SELECT comp, count(*) AS docs FROM comps GROUP BY 1"),
     "emb_coherence": f"WITH {_UNIT}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), s AS (SELECT label, i, sum(x) AS s, count(*) AS m FROM e GROUP BY ALL) SELECT label, max(m) AS docs, round((sum(s * s) - max(m)) / (max(m) * (max(m) - 1)), 6) AS coherencia FROM s GROUP BY 1",
     "gold_recovery": Q.query(Q.DOCS, *_C, _REC, "SELECT caso, docs, round(cobertura, 6) AS cobertura, round(recuperado, 6) AS recuperado, round(pureza, 6) AS pureza, fragmentos FROM rec"),
     "gold_average": Q.query(Q.DOCS, *_C, _REC, "SELECT count(*) AS casos, round(avg(round(cobertura, 3)), 6) AS cobertura, round(avg(round(recuperado, 3)), 6) AS recuperado, round(avg(round(pureza, 3)), 6) AS pureza FROM rec"),
