@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import graph as G
@@ -233,8 +234,58 @@ def gold_tokens(spark: SparkSession, d: str) -> DataFrame:
     return title.join(entry, "palabra").groupBy("subhilo_id").agg(F.count_distinct("id").alias("docs"))
 
 
+def graph_block_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree that bridges make of a component's blocks, the parts left without bridges: blocks, leaves, the largest
+    block, and the pairs of documents that only a bridge connects. Components that have bridges."""
+    e, c = accepted(spark, d)
+    b = Scratch(spark, "blocks").write(G.bridges(e, c).select("comp", "a", "b"))
+    inner = G.components(e.select("a", "b").join(b.select("a", "b"), ["a", "b"], "left_anti"))
+    block = c.join(inner.withColumnRenamed("comp", "bloque"), "doc_id", "left").select("doc_id", "comp", F.coalesce("bloque", "doc_id").alias("bloque"))
+    ends = b.select("comp", F.explode(F.array("a", "b")).alias("doc_id")).join(block.select("doc_id", "bloque"), "doc_id")
+    degree = ends.groupBy("comp", "bloque").agg(F.count("*").alias("puentes"))
+    size = block.join(b.select("comp").distinct(), "comp", "left_semi").groupBy("comp", "bloque").agg(F.count("*").alias("n"))
+    x = size.join(degree, ["comp", "bloque"], "left").groupBy("comp").agg(F.count("*").alias("bloques"), F.count_if(F.col("puentes") == 1).alias("hojas"), F.max("n").alias("mayor"), (S.pairs_of(F.sum("n")) - F.sum(S.pairs_of(F.col("n")))).cast("long").alias("pares_por_puente"))
+    return x
+
+
+def stability_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities with a twentieth and a tenth of the edges dropped, over three seeds each: retention of pairs and
+    variation of information against the communities of all edges."""
+    e, c = accepted(spark, d)
+    name = F.concat_ws("-", "comp", "comunidad").alias("grupo")
+    scratch = Scratch(spark, "perturbed")
+    base, out = scratch.write(G.communities(e, c, "louvain").select("doc_id", name)), None
+    for share in (5, 10):
+        for seed in (1, 2, 3):
+            less = scratch.write(M.drop_share(e, share, 1, seed, "a", "b").drop("rep"))
+            x = G.communities(less, G.components(less.select("a", "b")), "louvain").select("doc_id", name)
+            r = R.compare(base, x).select(F.lit(share).alias("porcentaje"), F.lit(seed).alias("semilla"), F.round("retencion", 6).alias("retencion"), F.round("vi", 6).alias("vi"))
+            out = r if out is None else out.union(r)
+    return out
+
+
+def sample_unlike_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty-five near pairs of vectors that share no label: near by content, unrelated by what is known of them."""
+    x = table(spark, d, "embeddings")
+    near = V.undirected(V.window_neighbours(x.where("vec_id % 100 = 0"), x, "vec_id", "embedding", "vec_id", 365, 15), "vec_id").where("w >= 0.2")
+    label = x.select(F.col("vec_id").cast("string").alias("id"), "label")
+    j = near.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+    return M.simple(j.where("la <> lb").select("a", "b"), 25, 5, "a", "b")
+
+
+def sample_missed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one gold case in different threads and without a link: documents in hash order, two by two, at most two
+    pairs a case."""
+    gold, group = _gold(spark, d)
+    order = F.row_number().over(W.partitionBy("caso").orderBy(M.ticket(6, "doc_id"), "doc_id")) - 1
+    x = gold.withColumn("r", order).where("r < 4").join(group, "doc_id", "left")
+    pair = x.groupBy("caso", F.floor(F.col("r") / 2).alias("k")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"), F.count_distinct("grupo").alias("g"), F.count("grupo").alias("in_"))
+    pair = pair.where("n = 2 and not (in_ = 2 and g = 1)")
+    return pair.join(edges(spark, d).select("a", "b"), ["a", "b"], "left_anti").select("caso", "a", "b")
+
+
 QUERIES = {f.__name__: f for f in (
-    graph_vertices, graph_edges, graph_density, graph_cores, graph_structure, graph_bridges, graph_paths, graph_betweenness, graph_satellites,
+    graph_block_tree, stability_communities, sample_unlike_neighbours, sample_missed_pairs, graph_vertices, graph_edges, graph_density, graph_cores, graph_structure, graph_bridges, graph_paths, graph_betweenness, graph_satellites,
     graph_pruning, graph_heterogeneous, graph_bridge_features, graph_long_edges, graph_bootstrap,
     *[_communities_query(m) for m in ("louvain", "leiden", "cpm", "infomap")], community_comparison, community_resolutions, community_consensus, community_given,
     emb_neighbours, emb_graph, emb_coherence, gold_recovery, gold_average, gold_tokens,
@@ -262,6 +313,8 @@ ORACLE = {
     "graph_long_edges": Q.query(Q.EDGES, _U_TEST, "SELECT n, n1, u, round(greatest(abs(u - n1 * (n - n1) / 2) - 0.5::DOUBLE, 0) / sqrt(n1 * (n - n1) / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM m"),
     "emb_neighbours": f"WITH {_UNIT}, c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0) SELECT vec_id, vecino, round(coseno, 6) AS coseno FROM k WHERE r <= 5",
     "emb_graph": Q.query(_UNIT, "c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.3)", Q.components("e"), "SELECT comp, count(*) AS docs FROM comps GROUP BY 1"),
+    "sample_missed_pairs": Q.query(Q.DOCS, *_C, _REC.split(", size AS")[0], "o AS (SELECT gold.*, row_number() OVER (PARTITION BY caso ORDER BY md5('6|' || doc_id), doc_id) - 1 AS r FROM gold), p AS (SELECT caso, r // 2 AS k, min(o.doc_id) AS a, max(o.doc_id) AS b, count(*) AS n, count(DISTINCT comp) AS g, count(comp) AS i FROM o LEFT JOIN comps ON comps.doc_id = o.doc_id WHERE r < 4 GROUP BY ALL)", "SELECT caso, a, b FROM p WHERE n = 2 AND NOT (i = 2 AND g = 1) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = p.a AND e.b = p.b)"),
+    "sample_unlike_neighbours": f"WITH {_UNIT}, c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.2) SELECT a, b FROM e JOIN embeddings x ON x.vec_id::VARCHAR = a JOIN embeddings y ON y.vec_id::VARCHAR = b WHERE x.label <> y.label ORDER BY md5('5|' || a || '|' || b), a, b LIMIT 25",
     "emb_coherence": f"WITH {_UNIT}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), s AS (SELECT label, i, sum(x) AS s, count(*) AS m FROM e GROUP BY ALL) SELECT label, max(m) AS docs, round((sum(s * s) - max(m)) / (max(m) * (max(m) - 1)), 6) AS coherencia FROM s GROUP BY 1",
     "gold_recovery": Q.query(Q.DOCS, *_C, _REC, "SELECT caso, docs, round(cobertura, 6) AS cobertura, round(recuperado, 6) AS recuperado, round(pureza, 6) AS pureza, fragmentos FROM rec"),
     "gold_average": Q.query(Q.DOCS, *_C, _REC, "SELECT count(*) AS casos, round(avg(round(cobertura, 3)), 6) AS cobertura, round(avg(round(recuperado, 3)), 6) AS recuperado, round(avg(round(pureza, 3)), 6) AS pureza FROM rec"),
