@@ -215,3 +215,16 @@ def test_neighbours_by_brute_force(spark):
 def test_numbering(spark, rows):
     c = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")], "doc_id string, comp string")
     assert {r.comp: r.hilo for r in H.numbered(c).collect()} == {"c": "H0000", "a": "H0001"}
+
+
+def test_empty_and_tiny_corpora(spark):
+    cols = "id fecha_iso titulo llm_project_name llm_main_conflict_place_name llm_main_conflict_place_type geo_comuna geo_provincia geo_region llm_demandant_actor_name llm_demanded_actor_name llm_contentious_action_type".split()
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in cols) + ", cargado_en timestamp")
+    assert C.coverage(C.latest(empty)).first().docs == 0 and C.referents(empty).count() == 0 and C.records(empty).count() == 0
+    assert C.aliases(C.acronym_forms(C.referents(empty))).count() == 0
+    five = spark.createDataFrame([(str(i), None, "t", "Mina Sur") + (None,) * 8 + (None,) for i in range(5)], empty.schema)
+    refs = C.referents(C.latest(five))
+    assert {r.idf for r in P.frequencies(refs, 5).collect()} == {1.0} and P.scored_pairs(refs, P.frequencies(refs, 5)).count() == 0
+    none = spark.createDataFrame([], "tau double, a string, b string, dias int")
+    assert H.grid_summary(none, spark.createDataFrame([], "tau double, doc_id string, comp string"), 0).count() == 0
+    assert A.kappa(spark.createDataFrame([], "a string, b string"), "a", "b").first().kappa is None

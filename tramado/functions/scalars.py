@@ -39,7 +39,9 @@ def jitter(date: Column, width: int, *parts: Column) -> Column:
 
 
 def idf(n: Column, df: Column, anchor: int = 5) -> Column:
-    return F.least(F.lit(1.0), F.ln(n / df) / F.ln(n / F.lit(float(anchor))))
+    """Anchor weight of a referent in ``df`` of ``n`` documents: 1 up to ``anchor`` documents. 1 as well where the corpus
+    is no larger than ``anchor``."""
+    return F.least(F.lit(1.0), F.try_divide(F.ln(n / df), F.ln(n / F.lit(float(anchor)))))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -96,8 +96,8 @@ def coverage(docs: DataFrame) -> DataFrame:
         F.count_if(n >= 1).alias("al_menos_1"),
         F.count_if(n >= 2).alias("al_menos_2"),
         F.count_if(n == 3).alias("los_3"),
-        F.round(100 * F.count_if(n >= 1) / one, 4).alias("pct_al_menos_1"),
-        (F.count_if(n >= 1) / one >= 0.7).alias("pasa"),
+        F.round(F.try_divide(100 * F.count_if(n >= 1), one), 4).alias("pct_al_menos_1"),
+        (F.try_divide(F.count_if(n >= 1), one) >= 0.7).alias("pasa"),
     )
 
 

@@ -29,8 +29,8 @@ def grid_summary(edges: DataFrame, comps: DataFrame, docs: int | Column, near_da
         F.count("*").alias("hilos"),
         F.count_if(big).alias("hilos_3"),
         F.median(F.when(big, F.col("n"))).alias("mediana_3"),
-        (F.sum(F.when(big, F.col("n"))) / n).alias("cobertura_3"),
-        (F.max("n") / n).alias("gigante"),
+        F.try_divide(F.sum(F.when(big, F.col("n"))), n).alias("cobertura_3"),
+        F.try_divide(F.max("n"), n).alias("gigante"),
     )
     return e.join(t, "tau").withColumn("cabe", F.col("gigante") <= cap)
 

@@ -81,7 +81,7 @@ def text_keys(spark: SparkSession, d: str) -> DataFrame:
         F.lower(T.strip(F.coalesce(F.nullif("fuente", F.lit("")), F.lit("desconocida")))).alias("fuente"),
         F.substring("titulo", 1, 120).alias("titulo_120"),
         F.coalesce(F.col("titulo").ilike("%tranque%") | F.col("snippet").ilike("%tranque%"), F.lit(False)).alias("tranque"),
-        T.padded_id("D", 8, F.col("id").cast("long")).alias("codigo"),
+        T.padded_id("D", 8, F.col("id").try_cast("long")).alias("codigo"),
     )
 
 
