@@ -50,6 +50,59 @@ def permuted_dates(docs: DataFrame, stratum: list[str], replicates: int, seed: i
     return left.join(right, ["rep", *stratum, "k"]).select("rep", "doc_id", "fecha")
 
 
+def permuted_durations(docs: DataFrame, members: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``(hilo, dur, sorteos, p_alto, p_bajo)``: durations of the threads of ``members`` (``hilo``, ``doc_id``) against the
+    dates of ``permuted_dates`` within year and source, from ``docs`` (``doc_id``, ``fecha``, ``anio``, ``fuente``).
+
+    A stratum is shuffled once for all replicates and leaves each thread's first and last date by replicate. Permuted
+    dates keep their year, so only a thread's documents of its first and of its last year decide."""
+    d = docs.select("doc_id", "anio", "fuente", F.unix_date("fecha").alias("dia"))
+    m = members.select("hilo", "doc_id")
+    real = m.join(d, "doc_id").groupBy("hilo").agg(F.min("anio").alias("y0"), F.max("anio").alias("y1"), (F.max("dia") - F.min("dia")).alias("dur"))
+    x = d.join(m.join(real, "hilo"), "doc_id", "left")
+
+    def order(salt, rep, ids):
+        head = f"{seed}{salt}|{rep}|".encode()
+        tickets = b"".join([hashlib.md5(head + i, usedforsecurity=False).digest() for i in ids])
+        return np.argsort(np.frombuffer(tickets, ">u8")[::2], kind="stable")
+
+    def draw(pdf):
+        at = np.flatnonzero(((pdf["anio"] == pdf["y0"]) | (pdf["anio"] == pdf["y1"])).to_numpy())
+        if not len(at):
+            return pd.DataFrame([], columns=["hilo", "dur", "lo", "hi"])
+        who = pdf["hilo"].to_numpy()[at]
+        by = np.argsort(who, kind="stable")
+        at, who = at[by], who[by]
+        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        ids, day = [str(i).encode() for i in pdf["doc_id"]], pdf["dia"].to_numpy(np.int32)
+        lo, hi, got = np.empty((len(start), replicates), np.int32), np.empty((len(start), replicates), np.int32), np.empty(len(ids), np.int32)
+        for rep in range(1, replicates + 1):
+            got[order("a", rep, ids)] = day[order("b", rep, ids)]
+            lo[:, rep - 1], hi[:, rep - 1] = np.minimum.reduceat(got[at], start), np.maximum.reduceat(got[at], start)
+        one = pdf.iloc[at[start]]
+        first, last = (one["anio"] == one["y0"]).to_numpy(), (one["anio"] == one["y1"]).to_numpy()
+        return pd.DataFrame({
+            "hilo": who[start], "dur": one["dur"].to_numpy(np.int32),
+            "lo": [r.tobytes() if k else None for r, k in zip(lo, first)], "hi": [r.tobytes() if k else None for r, k in zip(hi, last)],
+        })
+
+    def count(pdf):
+        pdf = pdf.sort_values("hilo")
+        who = pdf["hilo"].to_numpy()
+        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        far = np.iinfo(np.int32)
+        read = lambda c, none: np.stack([np.frombuffer(r, np.int32) if r is not None else np.full(replicates, none, np.int32) for r in pdf[c]])
+        null = np.maximum.reduceat(read("hi", far.min), start) - np.minimum.reduceat(read("lo", far.max), start)
+        dur = pdf["dur"].to_numpy()[start]
+        high, low = (null >= dur[:, None]).sum(1), (null <= dur[:, None]).sum(1)
+        return pd.DataFrame({"hilo": who[start], "dur": dur, "sorteos": replicates, "p_alto": (1 + high) / (replicates + 1), "p_bajo": (1 + low) / (replicates + 1)})
+
+    drawn = x.groupBy("anio", "fuente").applyInPandas(draw, "hilo string, dur int, lo binary, hi binary")
+    bundles = members.count() // 5000 + docs.sparkSession.sparkContext.defaultParallelism
+    bundled = drawn.withColumn("_bundle", F.pmod(F.xxhash64("hilo"), F.lit(bundles))).groupBy("_bundle")
+    return bundled.applyInPandas(count, "hilo string, dur int, sorteos long, p_alto double, p_bajo double")
+
+
 def pseudo_threads(docs: DataFrame, sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
     """Null N2: ``(n, rep, doc_id, fecha)``, uniform sets of ``n`` documents, drawn once per distinct size. Slots are
     hashed to positions, a few more than needed; repeats are dropped and the first ``n`` kept, so the cost is sizes

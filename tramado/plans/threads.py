@@ -158,32 +158,32 @@ def temporal_sources(spark: SparkSession, d: str) -> DataFrame:
     return X.source_mix(thread_days(spark, d).where("fuente is not null"), "hilo", "fuente").withColumn("mayor_fuente", F.round("mayor_fuente", 6))
 
 
+#: Draws that the SQL below states. The queries draw ``DEFAULT.replicates``.
 REPS = 10
+#: Replicates of dropped documents and of moved dates (RS14, RS15).
+DROPS = 20
 
 
-def null_permuted(spark: SparkSession, d: str) -> DataFrame:
+def null_permuted(spark: SparkSession, d: str, reps: int = DEFAULT.replicates) -> DataFrame:
     """Is a thread shorter than with dates permuted within year and source? Both tails, and q over all threads."""
     scratch = Scratch(spark, "null")
     days = scratch.write(thread_days(spark, d).select("hilo", "doc_id", "fecha"))
     pool = _dated(spark, d).withColumn("anio", F.year("fecha"))
-    drawn = X.permuted_dates(pool, ["anio", "fuente"], REPS, 20260731).join(days.select("hilo", "doc_id"), "doc_id")
-    real = days.groupBy("hilo").agg(F.datediff(F.max("fecha"), F.min("fecha")).alias("dur"))
-    null = drawn.groupBy("hilo", "rep").agg(F.datediff(F.max("fecha"), F.min("fecha")).alias("dur"))
-    p = X.empirical_p(real, null, ["hilo"], "dur")
+    p = scratch.write(X.permuted_durations(pool, days, reps, 20260731))
     p = X.benjamini_hochberg(p, "p_bajo", tie="hilo")
     return p.select("hilo", "dur", "sorteos", F.round("p_alto", 6).alias("p_alto"), F.round("p_bajo", 6).alias("p_bajo"), F.round("q", 6).alias("q"), (F.round("q", 6) <= DEFAULT.fdr).alias("significativo"))
 
 
-def null_significant(spark: SparkSession, d: str) -> DataFrame:
+def null_significant(spark: SparkSession, d: str, reps: int = DEFAULT.replicates) -> DataFrame:
     """How many threads have a supported signal."""
-    x = null_permuted(spark, d)
+    x = null_permuted(spark, d, reps)
     return x.agg(F.count("*").alias("hilos"), F.count_if("significativo").alias("con_senal"), F.round(F.avg((~F.col("significativo")).cast("double")), 6).alias("sin_senal"))
 
 
-def null_pseudo(spark: SparkSession, d: str) -> DataFrame:
+def null_pseudo(spark: SparkSession, d: str, reps: int = DEFAULT.replicates) -> DataFrame:
     """Mean duration of size-matched random sets, by size."""
     sizes = threads(spark, d).where(F.col("n") >= DEFAULT.min_thread).select("n").distinct()
-    x = X.pseudo_threads(_dated(spark, d).select("doc_id", "fecha"), sizes, REPS, 20260732)
+    x = X.pseudo_threads(_dated(spark, d).select("doc_id", "fecha"), sizes, reps, 20260732)
     dur = x.groupBy("n", "rep").agg(F.datediff(F.max("fecha"), F.min("fecha")).alias("dur"), F.count("*").alias("docs"))
     return dur.groupBy("n").agg(F.count("*").alias("sorteos"), F.min("docs").alias("docs"), F.round(F.avg("dur"), 6).alias("dur_media"))
 
@@ -193,16 +193,16 @@ def null_growth(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "growth")
     g = scratch.write(X.gaps(thread_days(spark, d), ["hilo"]))
     days = sorted(r[0] for r in _dated(spark, d).select(F.unix_date("fecha")).distinct().collect())
-    draws = X.grown_threads(g.select("hilo", F.col("docs").alias("n"), F.coalesce("p_largo", F.lit(0.0)).alias("largo")), days, REPS, 20260741)
+    draws = X.grown_threads(g.select("hilo", F.col("docs").alias("n"), F.coalesce("p_largo", F.lit(0.0)).alias("largo")), days, DEFAULT.replicates, 20260741)
     return X.benjamini_hochberg(X.empirical_p(g.select("hilo", "max_gap"), draws, ["hilo"], "max_gap"), "p_alto", tie="hilo")
 
 
-def stability_drop(spark: SparkSession, d: str) -> DataFrame:
+def stability_drop(spark: SparkSession, d: str, reps: int = DROPS) -> DataFrame:
     """Share of each thread's pairs that stay together when a tenth of the documents is dropped, over replicates; a
     thread is fragile if it keeps under half in a quarter of them."""
     scratch = Scratch(spark, "drop")
     e = scratch.write(edges(spark, d).where(P.accepted(F.lit(TAU))))
-    kept = M.drop_share(docs(spark, d).select(F.col("id").alias("doc_id")), 10, 4, 5, "doc_id")
+    kept = M.drop_share(docs(spark, d).select(F.col("id").alias("doc_id")), 10, reps, 5, "doc_id")
     k = scratch.write(kept)
     sub = e.join(k.select("rep", F.col("doc_id").alias("a")), "a").join(k.select("rep", F.col("doc_id").alias("b")), ["rep", "b"])
     again = G.components(sub.select("rep", "a", "b"), ["rep"]).select("rep", "doc_id", F.col("comp").alias("grupo"))
@@ -211,11 +211,11 @@ def stability_drop(spark: SparkSession, d: str) -> DataFrame:
     return r.select("grupo", F.round("media", 6).alias("media"), (F.col("bajo") >= 0.25).alias("fragil"))
 
 
-def stability_jitter(spark: SparkSession, d: str) -> DataFrame:
+def stability_jitter(spark: SparkSession, d: str, reps: int = DROPS) -> DataFrame:
     """Edges that stay when dates move by up to seven days, over replicates: shared, lost, and their Jaccard."""
     day = _dated(spark, d).select("doc_id", "fecha")
-    reps = day.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rep"), "fecha")
-    moved = reps.select("rep", "doc_id", S.jitter(F.col("fecha"), 7, F.lit(9), F.col("rep"), F.col("doc_id")).alias("fecha"))
+    copies = day.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), "fecha")
+    moved = copies.select("rep", "doc_id", S.jitter(F.col("fecha"), 7, F.lit(9), F.col("rep"), F.col("doc_id")).alias("fecha"))
     e = edges(spark, d).join(day.select(F.col("doc_id").alias("a")), "a").join(day.select(F.col("doc_id").alias("b")), "b")
     j = e.drop("dias").join(moved.select(F.col("doc_id").alias("a"), "rep", F.col("fecha").alias("fa")), "a").join(moved.select(F.col("doc_id").alias("b"), "rep", F.col("fecha").alias("fb")), ["b", "rep"])
     j = j.withColumn("dias", F.abs(F.datediff("fa", "fb")))

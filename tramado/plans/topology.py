@@ -133,9 +133,9 @@ def community_resolutions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def community_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the edges whose ends are together in at least half of eight seeded runs."""
+    """Components of the edges whose ends are together in at least half of eighty seeded runs."""
     e, c = accepted(spark, d)
-    both = G.coassignment(G.communities(e, c, "louvain", range(8)), e).where("parte >= 0.5")
+    both = G.coassignment(G.communities(e, c, "louvain", range(80)), e).where("parte >= 0.5")
     return G.components(both.select("a", "b")).groupBy("comp").agg(F.count("*").alias("docs"))
 
 
@@ -147,7 +147,7 @@ def community_given(spark: SparkSession, d: str) -> DataFrame:
     return r.select("docs", "grupos_a", "grupos_b", F.round("ari", 6).alias("ari"), F.round("nmi", 6).alias("nmi"), F.round("vi", 6).alias("vi"))
 
 
-def graph_heterogeneous(spark: SparkSession, d: str) -> DataFrame:
+def graph_heterogeneous(spark: SparkSession, d: str, reps: int = 300) -> DataFrame:
     """Paths of two steps whose ends share neither project nor territory, against documents' referents permuted: by
     replicate, 0 being the real assignment. Ends are counted by group around each middle, never paired: all pairs, less
     those that share a project, less those that share a territory, plus those that share both."""
@@ -155,7 +155,7 @@ def graph_heterogeneous(spark: SparkSession, d: str) -> DataFrame:
     one = refs(spark, d).where("tipo <> 'actor'").groupBy("doc_id").pivot("tipo", ["objeto", "territorio"]).agg(F.min("referente"))
     r = Scratch(spark, "donors").write(one.na.drop().join(c.select("doc_id"), "doc_id", "left_semi"))
     real = r.select(F.lit(0).alias("rep"), "doc_id", F.col("doc_id").alias("donante"))
-    maps = real.union(M.donors(r.select("doc_id"), "doc_id", 3, 17))
+    maps = real.union(M.donors(r.select("doc_id"), "doc_id", reps, 17))
     look = maps.join(r.withColumnRenamed("doc_id", "donante"), "donante").select("rep", F.col("doc_id").alias("other"), "objeto", "territorio")
     n = G.both_ways(e).join(look, "other").groupBy("rep", "doc_id", "objeto", "territorio").agg(F.count("*").alias("n"))
     pairs = lambda keys: n.groupBy("rep", *keys).agg(F.sum("n").alias("n")).groupBy("rep").agg(F.sum(S.pairs_of(F.col("n"))).alias("p"))
@@ -183,7 +183,7 @@ def graph_long_edges(spark: SparkSession, d: str) -> DataFrame:
 def graph_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Difference of mean weight between near and far edges with its bootstrap interval."""
     e = edges(spark, d).where("dias is not null").select((F.col("dias") <= 365).alias("corta"), "w", F.concat_ws("|", "a", "b").alias("_id"))
-    return M.bootstrap_difference(e, "corta", "w", 200, 3)
+    return M.bootstrap_difference(e, "corta", "w", 2000, 3)
 
 
 def emb_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -249,14 +249,14 @@ def graph_block_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stability_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Communities with a twentieth and a tenth of the edges dropped, over three seeds each: retention of pairs and
+    """Communities with a twentieth and a tenth of the edges dropped, over twenty seeds each: retention of pairs and
     variation of information against the communities of all edges."""
     e, c = accepted(spark, d)
     name = F.concat_ws("-", "comp", "comunidad").alias("grupo")
     scratch = Scratch(spark, "perturbed")
     base, out = scratch.write(G.communities(e, c, "louvain").select("doc_id", name)), None
     for share in (5, 10):
-        for seed in (1, 2, 3):
+        for seed in range(1, 21):
             less = scratch.write(M.drop_share(e, share, 1, seed, "a", "b").drop("rep"))
             x = G.communities(less, G.components(less.select("a", "b")), "louvain").select("doc_id", name)
             r = R.compare(base, x).select(F.lit(share).alias("porcentaje"), F.lit(seed).alias("semilla"), F.round("retencion", 6).alias("retencion"), F.round("vi", 6).alias("vi"))
