@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tramado.config import DEFAULT
 from tramado.operators import temporal as X
 from tramado.plans import threads as T
+from tramado.plans import topology as G
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,11 @@ def test_durations_of_permuted_dates(spark, corpus):
     cols = ["hilo", "dur", "sorteos", "p_alto", "p_bajo"]
     got = X.permuted_durations(pool, days, 7, 20260731)
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_graph_of_neighbours_links_all_vectors(spark, tmp_path):
+    """Two groups of vectors, none with an id divisible by a hundred."""
+    rows = [(i, [1.0, 0.01 * i] if i % 2 else [0.01 * i, -1.0], f"l{i % 3}") for i in range(1, 31)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r.docs for r in G.emb_graph(spark, str(tmp_path)).collect()) == [15, 15]
+    assert G.sample_unlike_neighbours(spark, str(tmp_path)).count() == 25

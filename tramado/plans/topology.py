@@ -195,7 +195,7 @@ def emb_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def emb_graph(spark: SparkSession, d: str) -> DataFrame:
     """Groups of vectors linked as neighbours with a cosine of at least 0.3, by size."""
     x = table(spark, d, "embeddings")
-    e = V.undirected(V.window_neighbours(x.where("vec_id % 100 = 0"), x, "vec_id", "embedding", "vec_id", 365, 15), "vec_id").where("w >= 0.3")
+    e = V.undirected(V.window_neighbours(x, x, "vec_id", "embedding", "vec_id", 365, 15), "vec_id").where("w >= 0.3")
     return G.components(e).groupBy("comp").agg(F.count("*").alias("docs"))
 
 
@@ -267,7 +267,7 @@ def stability_communities(spark: SparkSession, d: str) -> DataFrame:
 def sample_unlike_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Twenty-five near pairs of vectors that share no label: near by content, unrelated by what is known of them."""
     x = table(spark, d, "embeddings")
-    near = V.undirected(V.window_neighbours(x.where("vec_id % 100 = 0"), x, "vec_id", "embedding", "vec_id", 365, 15), "vec_id").where("w >= 0.2")
+    near = V.undirected(V.window_neighbours(x, x, "vec_id", "embedding", "vec_id", 365, 15), "vec_id").where("w >= 0.2")
     label = x.select(F.col("vec_id").cast("string").alias("id"), "label")
     j = near.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
     return M.simple(j.where("la <> lb").select("a", "b"), 25, 5, "a", "b")
