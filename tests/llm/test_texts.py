@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tramado.functions.wordarrays import chunks, shingles, words
+from tramado.llm.wordarrays import chunks, shingles, words
 from tramado.llm import neardup as N
 from tramado.llm.leakage import leaked_items
 from tramado.llm.sentences import Model, spans, split_sentences
@@ -51,9 +51,9 @@ def test_near_duplicates_by_brute_force(spark):
         docs.append(" ".join(w[len(w) // 2 :] + w[: len(w) // 2]))
         docs.append(" ".join(w[: int(len(w) * 0.7)]) + " " + text(rng, int(len(w) * 0.3)))
     family = text(rng, 200)
-    docs += [edited(rng, family, 3) for _ in range(N.BLOCK + 14)]
+    docs += [edited(rng, family, 3) for _ in range(30)]
     closing = text(rng, 30)
-    docs += [text(rng, 80) + " " + closing for _ in range(N.BLOCK + 10)]
+    docs += [text(rng, 80) + " " + closing for _ in range(26)]
     docs += ["", None, "Contenido no disponible.", "Contenido no disponible.", "uno dos tres", "<p></p>"]
     rows = [(f"{i:04d}", t, "z") for i, t in enumerate(docs)]
     df = spark.createDataFrame([*rows, *rows[:5], (None, docs[0], "z")], "doc_a string, t string, rid string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wordarrays import chunks, mix, words
+from .wordarrays import chunks, mix, words
 
 HALF = 16  # a passage is two neighbouring runs of so many words
 PART = 0.16  # least score, as a share of an item's score with itself

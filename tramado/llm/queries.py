@@ -15,7 +15,7 @@ from .consensus import consensus
 from .leakage import leaked_items
 from .mixing import mix, quality, token_counts
 from .names import variant_pairs
-from .neardup import similar_documents
+from .neardup import similar_documents, similar_groups
 from .sentences import split_sentences
 
 
@@ -89,6 +89,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_documents(table(spark, d, "h0000_diagnostics"), "doc_id", "contenido_completo")
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each article."""
+    return similar_groups(table(spark, d, "h0000_diagnostics"), "doc_id", "contenido_completo").withColumnRenamed("doc", "doc_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that carry test items, and which."""
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
@@ -119,7 +124,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p5_found, p5_group_sizes, p6_found,
+        p1_found, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p5_found, p5_group_sizes, p6_found, p6_groups,
         p7_found, p8_mix, p8_shares, p9_found,
     )
 }

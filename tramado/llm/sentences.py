@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wordarrays import chunks, hash_words
+from .wordarrays import chunks, hash_words
 
 SAMPLE = 2000
 TABLE = 1 << 18
