@@ -7,7 +7,7 @@ import pytest
 from tramado.llm.wordarrays import chunks, shingles, words
 from tramado.llm import neardup as N
 from tramado.llm.leakage import leaked_items
-from tramado.llm.sentences import Model, spans, split_sentences
+from tramado.llm.sentences import Model, Places, _stripped, spans, split_sentences
 
 VOCAB = [a + b + c for a in ("ka", "lo", "mi", "tu", "re") for b in ("na", "so", "pi", "dru") for c in ("l", "nte", "s", "rma", "xo")]
 
@@ -125,6 +125,30 @@ def test_sentences_by_script(t, parts):
     assert [t[i:j] for i, j in zip(a, b)] == parts
 
 
+def test_the_model_decides():
+    """No prior and no rule enters the decoding: a model fitted to other labels tags otherwise, and without the marks' view
+    the others still find the ends."""
+    texts = [" ".join(p) for p in SENTENCES] * 20
+    place = Places(["Uno dos. Tres cuatro. Cinco seis."])
+    assert Model(texts).decode(place).tolist() == [True, True, True]
+    assert Model(texts, views=(1, 2, 3)).decode(place).tolist() == [True, True, True]
+    shy = Model(texts)
+    shy.w = -shy.w
+    assert shy.decode(place).tolist() == [False, False, True]
+
+
+def test_stripped_text_keeps_labels():
+    s, e = _stripped("กา. ขา งา", np.array([3, 6, 9]))
+    assert s == "กา ขา งา" and [s[:k].rstrip() for k in e] == ["กา", "กา ขา", "กา ขา งา"]
+
+
+def test_quotation_with_several_sentences():
+    model = Model([" ".join(p) for p in SENTENCES] * 20 + ["«Fue un error. Lo sentimos», admitió la empresa. Nadie contestó."] * 10)
+    t = "Ana llegó. «Fue una pena. Lo lamento. No más», dijo Luis. Se fue."
+    _, a, b = spans(model, [t])
+    assert [t[i:j] for i, j in zip(a, b)] == ["Ana llegó.", "«Fue una pena. Lo lamento. No más», dijo Luis.", "Se fue."]
+
+
 def test_sentences_cover_every_character(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("aB .?!\n¿«»”,;:-1)(。？ 中ไท　\x1e'\"…") for _ in range(rng.randint(0, 200))) for _ in range(400)] + [None, "Hola. " * 20000]

@@ -6,9 +6,10 @@ over the remaining places only, which changes nothing in the result. A place's s
 features: the marks, their neighbours, quotation, layout, and the words and letters around; neighbouring places are
 tied by weights of their tags and distance. All texts of a batch are read as one array of code points.
 
-The weights are fitted here, on a bounded sample of documents. Labels come from what is certain in punctuated text and
-layout (``certain``), which also enters as a prior, so that marks and scripts the sample lacks are still read; for scripts without full stops the sample is stripped of punctuation first, so that the model
-learns ends from letters and layout alone.
+The weights are fitted here, on a bounded sample of documents, to labels that marks and layout show (``certain``). The
+labels decide nothing afterwards: neither a prior nor a rule enters the decoding, and while fitting, each view of a place
+is hidden at random, so that no single one carries the result. For scripts without full stops the sample is stripped of
+punctuation first and keeps the labels of the text as written, so that ends are learned from letters and layout alone.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ WRAP = 110
 NARROW = 70
 SLACK = 10
 TIE = 0.2
-PRIOR = 2.0
+VIEWS = 10
+DOT_BITS = 16
 _END = "\x1e"
 OTHER, LOWER, UPPER, DIGIT, UNCASED, OPEN, SPACE, LINE, STOP, CLOSE, COMMA, DASH, SEP = range(13)
 # Marks by what they do.
@@ -228,6 +230,7 @@ class Places:
         else:
             self.quote_first = np.zeros(m, bool)
         self.to = c[nx] == 0x3068  # the particle that follows a reported sentence
+        self.reported = self._reported()
         # A day before the name of a month, in a language that writes ordinals with a full stop.
         dated = np.flatnonzero(self.dot & self.digits & (self.nk == UPPER))
         self.month = np.zeros(m, bool)
@@ -241,6 +244,23 @@ class Places:
         self.near_bare = _unpunctuated(c[np.maximum(b_all - 1, 0)]) | _unpunctuated(nc)
         self.kg = _is(nc, "K") & (_is(c[np.minimum(nx + 1, n - 1)], "G"))
 
+    def _reported(self) -> np.ndarray:
+        """Whether a place lies inside a quotation whose reporting words follow its closing mark or precede a colon."""
+        c, k, b = self.c, self.k, self.b
+        opens, closes = np.flatnonzero(_is(c, "«“「『")), np.flatnonzero(_is(c, "»”」』"))
+        if not len(opens) or not len(closes) or not len(b):
+            return np.zeros(len(b), bool)
+        far = len(c) - 4
+        i, j = np.searchsorted(opens, b), np.searchsorted(closes, b)
+        o, before = np.where(i > 0, opens[np.maximum(i - 1, 0)], -1), np.where(j > 0, closes[np.maximum(j - 1, 0)], -1)
+        q, after = np.where(j < len(closes), closes[np.minimum(j, len(closes) - 1)], far), np.where(i < len(opens), opens[np.minimum(i, len(opens) - 1)], far)
+        doc = np.clip(self.doc, 0, len(self.bounds) - 2)
+        inside = (o > before) & (o > self.bounds[doc]) & (q < after) & (q < self.bounds[doc + 1])
+        q = np.minimum(q, far)
+        told = (k[q + 1] == COMMA) | (k[q + 1] == SPACE) & ((k[q + 2] == LOWER) | (k[q + 2] == COMMA)) | (c[q + 1] == 0x3068)
+        lead = np.where(k[np.maximum(o - 1, 0)] == SPACE, o - 2, o - 1)
+        return inside & (told | _is(c[np.maximum(lead, 0)], ":："))
+
     def _listed(self) -> np.ndarray:
         """Whether a list mark starts at a place."""
         c, k = self.c, self.k
@@ -254,29 +274,49 @@ class Places:
         out |= (c == 40) & after(digit, 1) & after(c == 41, 2)
         return out
 
-    def features(self) -> np.ndarray:
-        """Indices into the table of weights, a row per place: the marks, layout and neighbours together; the word
-        before with the kind of neighbour; the letters after; letters on both sides where there are no stops."""
+    def features(self, dots: np.ndarray) -> np.ndarray:
+        """Indices into the table of weights, a row per place and a column per view: the marks with what follows; the word
+        before; its shape; the letters after; quotation; layout; letters on both sides in scripts without stops; listed
+        abbreviations; how often the word before carries a dot in the sample (``dots``, by hash); and what holds in any
+        script, so that marks and scripts the sample lacks are still read."""
         c, b, nx = self.c, self.b, self.next
-        bits = [self.stop, self.dot, self.ellipsis, self.full, self.quote, self.round, self.name, self.number, self.initial, self.letter, self.inner, self.digits, self.mark, self.entry & self.fits & (self.gap == 2), self.next_entry & (self.gap == 2), self.fits & (self.gap == 2), self.colon & (self.gap == 2), self.quote_first, self.to, self.next_low, self.bare, self.near_bare, self.nospace, self.kg, self.final]
-        code = np.zeros(len(b), np.uint64)
-        for x in bits:
-            code = code * np.uint64(2) + x.astype(np.uint64)
+
+        def code(*xs: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(b), np.uint64)
+            for x in xs:
+                out = out * np.uint64(16) + np.minimum(x, 15).astype(np.uint64)
+            return out
+
         with np.errstate(over="ignore"):
-            # A break where the line was full is as good as a blank, and a comma after a stop decides alone.
+            # A break where the line was full is as good as a blank.
             gap = np.where(self.stop & (self.gap == 2) & ~self.fits, 1, self.gap)
             last = np.where(self.stop, 0, np.where(np.isin(self.pk, (LOWER, UPPER, DIGIT)), LOWER, self.pk))
-            for x in (self.nk, gap, last):
-                code = code * np.uint64(16) + x.astype(np.uint64)
-            side = (self.nk.astype(np.uint64) * np.uint64(8) + gap.astype(np.uint64)) * np.uint64(2) + self.stop.astype(np.uint64)
+            kind = np.where(~self.stop, 0, np.where(self.dot, 1, np.where(self.ellipsis, 2, np.where(self.full, 3, 4))))
+            side = code(kind, self.nk, gap)
+            length = np.minimum(self.head - self.start, 6)
+            before = self.k[np.maximum(self.head - 1, 0)]
             tail = np.zeros(len(b), np.uint64)
             for j in range(3):
                 tail = tail * np.uint64(0x10001) + c[np.minimum(nx + j, len(c) - 1)]
             front = np.zeros(len(b), np.uint64)
             for j in range(1, 4):
                 front = front * np.uint64(0x10001) + c[np.maximum(b - j, 0)]
-            rows = [code, self.word * np.uint64(31) + side, tail * np.uint64(64) + side + np.uint64(7), (front * np.uint64(0x1000193) ^ tail) * np.uint64(2) + self.bare]
-            rows[3] = np.where(self.near_bare, rows[3], np.uint64(1))
+            list_mark = self.mark.astype(int) + 2 * self.month + 4 * self.kg
+            rows = [
+                code(kind, self.nk, gap, last, self.nospace, self.quote, self.final),
+                self.word * np.uint64(31) + side,
+                code(kind, self.nk, gap, length, before, self.inner, self.next_low),
+                tail * np.uint64(4099) + side,
+                code(kind, self.nk, gap, self.quote, self.round, self.quote_first, self.to, self.reported, last),
+                code(kind, self.nk, gap, self.fits, self.colon, self.entry, self.next_entry, self.near_bare, last, list_mark, self.final),
+                np.where(self.near_bare, (front * np.uint64(0x1000193) ^ tail) * np.uint64(2) + self.bare, np.uint64(1)),
+                code(kind, self.nk, gap, self.name, self.number, self.initial, self.letter, self.digits, self.quote, self.final),
+                code(kind, self.nk, gap, dots[(self.word >> np.uint64(64 - DOT_BITS)).astype(np.int64)], np.minimum(length, 4)),
+            ]
+            start = np.isin(self.nk, (UPPER, UNCASED, OPEN, DIGIT, DASH, OTHER))
+            strong = self.stop & ~self.dot & ~self.ellipsis
+            title = self.name | self.initial | self.letter
+            rows.append(code(strong + 2 * self.dot + 4 * self.ellipsis, np.where(start, UPPER, self.nk), self.reported | self.quote & (self.to | self.quote_first), title & self.dot, (self.gap > 0) & (self.dot | self.ellipsis | ~self.stop), self.bare & ~self.stop))
             mixed = [((r + np.uint64(i)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 18) for i, r in enumerate(rows)]
         return np.stack(mixed, 1).astype(np.int64)
 
@@ -304,6 +344,7 @@ class Places:
         y |= tight & self.dot & (nk == OPEN) & (self.pk == STOP) & ~title
         # Words that report a quotation belong to it.
         y &= ~(self.quote & quiet & (self.quote_first | self.to))
+        y &= ~(self.reported & self.stop & (gap < 3))
         y &= ~(self.stop & np.isin(nk, (COMMA, CLOSE)))
         y &= ~(self.stop & low)
         # Line breaks without a stop.
@@ -332,21 +373,65 @@ def _lower_table() -> np.ndarray:
     return t
 
 
-_STRIP = str.maketrans({m: "" for m in STOPS})
+#: Sentences in scripts that a sample may lack; the model is always fitted to these too.
+SEED = (
+    "今天下雨。水渠坏了。谁来修？村民说：“我们去修。”大家同意了！会议……没有开始。“够了！”人们喊道。",
+    "今日は雨です。水路が壊れた。誰が直すのか？「私が直す。」と村長は言った。会議は……終わった。皆が帰った！",
+    "आज बारिश हुई। नहर टूट गई। कौन ठीक करेगा? डॉ. राव और श्री. सेन आए। लोग चले गए।",
+    "نزل المطر اليوم. من يصلح القناة؟ جاء د. سالم وأ. هند. الاجتماع... لم ينته. ذهب الناس.",
+    "วันนี้ฝนตก คลองพังแล้ว ใครจะซ่อม ชาวบ้านมา 12 คน  ทุกคนกลับบ้าน น้ำลึก 3.5 เมตร เด็กเล่นน้ำ",
+    "ມື້ນີ້ຝົນຕົກ ຄອງເພແລ້ວ ຊາວບ້ານມາ 12 ຄົນ ທຸກຄົນກັບບ້ານ",
+    "ថ្ងៃនេះភ្លៀង។ ប្រឡាយខូច។ អ្នកភូមិមក ១២ នាក់។ ពួកគេទៅផ្ទះ។",
+    "Сегодня дождь. Канал сломан. Кто починит? Пришли 12 человек. Все ушли!",
+    "Σήμερα βρέχει. Το κανάλι χάλασε. Ποιος θα το φτιάξει; Ήρθαν όλοι. Έφυγαν!",
+    "Canal y riego\nLa carta pide:\n1. Medir el agua\n2) Citar a Eva\n- Cerrar la toma\nLlovió hoy. Vino el Sr. Soto.Nadie habló.",
+    "Nota del valle\nSe acordó:\n- Limpiar el canal\n* Pagar a Rosa\n1) Pedir datos\n2. Abrir la toma\nTodos firmaron.Luego se fueron. Llovía.",
+    "The valley\nThey agreed:\n• Clean the canal\n1. Pay Rose\n2. Open the gate\nAll signed.Then they left. It rained.",
+    "Por la mañana los vecinos del valle y sus familias limpiaron el canal que\npasa por el pueblo. A mediodía, después de la reunión, Rosa Vera subió a la\nSierra Alta. Nadie la vio volver, según contó por la tarde su hermano\nJuan. Después llovió.",
+    "In the morning the people of the valley and their families cleaned the\ncanal. At noon, after the meeting, Rose Hill climbed up to the\nUpper Ridge. Nobody saw her come back, as her brother told us, said\nJohn. Then it rained.",
+    "«Llueve. No saldré. Mañana veremos», dijo Rosa. Nadie rió. «Es tarde. Hay que irse», contestó Juan. Se fueron.",
+    "“It rains. I stay. We shall see”, said Rose. Nobody laughed. “It is late. Let us go”, said John. They left.",
+)
+
+
+def _stripped(text: str, ends: np.ndarray) -> tuple[str, np.ndarray]:
+    """A text without stops and the marks that close with them, and where ``ends`` (places of the text) then lie."""
+    chars = np.array(list(text))
+    keep = ~np.isin(chars, list(STOPS + CLOSERS))
+    place = np.concatenate(([0], np.cumsum(keep)))
+    return "".join(chars[keep]), place[ends]
 
 
 class Model:
-    """Weights of features, and of neighbouring tags by distance."""
-
-    def __init__(self, texts: list[str], rounds: int = 12, rate: float = 0.5, decay: float = 1e-6):
-        parts = [(p.features(), p.certain(), p) for p in (Places(x) for _, x in chunks(texts))]
-        bare = [t.translate(_STRIP) for t in texts if _unpunctuated(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)).any()]
-        parts += [(p.features(), p.certain(), p) for p in (Places(x) for _, x in chunks(bare))]
-        f = np.concatenate([x[0] for x in parts]) if parts else np.zeros((0, 4), np.int64)
-        y = np.concatenate([x[1] for x in parts]).astype(np.float64) if parts else np.zeros(0)
-        w = np.zeros(TABLE)
-        scale = np.array([1.0, 0.3, 0.3, 0.3])
-        seen = np.zeros(TABLE)
+    """Weights of features, and of neighbouring tags by distance.
+
+    Fitted to the labels that marks and layout show (``certain``). In every round each view of a place is hidden at random,
+    so that words, shapes and letters learn what the marks show and stand in for them where marks mislead. Texts in scripts
+    without full stops are fitted without any: their labels are those of the text as written, carried over to its
+    stripped form by position. ``views`` leaves views out (for ablations).
+    """
+
+    def __init__(self, texts: list[str], rounds: int = 16, rate: float = 0.5, hidden: float = 0.2, views: tuple[int, ...] = tuple(range(VIEWS))):
+        texts = [*texts, *SEED]
+        whole = [Places(x) for _, x in chunks(texts)]
+        self.dots = self._dots(whole)
+        parts = [(p, p.certain()) for p in whole]
+        bare, ends = [], []
+        for t in texts:
+            if _unpunctuated(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)).any():
+                p = Places([t])
+                s, e = _stripped(t.replace(_END, " "), p.b[p.certain()] - 1)
+                bare.append(s)
+                ends.append(e)
+        for first, x in chunks(bare):
+            p = Places(x)
+            base = p.bounds[np.clip(p.doc, 0, len(x) - 1)] + 1
+            shown = {(k, int(e)) for k in range(len(x)) for e in ends[first + k]}
+            parts.append((p, np.array([(int(d), int(at)) in shown for d, at in zip(p.doc, p.b - base)], bool)))
+        f = np.concatenate([p.features(self.dots) for p, _ in parts]) if parts else np.zeros((0, VIEWS), np.int64)
+        y = np.concatenate([label for _, label in parts]).astype(np.float64) if parts else np.zeros(0)
+        use = np.isin(np.arange(VIEWS), views)
+        w, seen = np.zeros(TABLE), np.zeros(TABLE)
         np.add.at(seen, f.ravel(), 1)
         step = rate / np.sqrt(np.maximum(seen, 1))
         order = np.random.RandomState(7)
@@ -354,20 +439,35 @@ class Model:
             p = order.permutation(len(y))
             for a in range(0, len(p), 256):
                 i = p[a : a + 256]
-                err = y[i] - 1 / (1 + np.exp(-(w[f[i]] * scale).sum(1) - PRIOR * (2 * y[i] - 1)))
-                np.add.at(w, f[i], err[:, None] * scale * step[f[i]] * 4)
-            w *= 1 - decay
-        self.w = w.astype(np.float32)
-        self.scale = scale.astype(np.float32)
+                on = (order.random_sample((len(i), VIEWS)) >= hidden) & use
+                err = y[i] - 1 / (1 + np.exp(-(w[f[i]] * on).sum(1)))
+                np.add.at(w, f[i], err[:, None] * on * step[f[i]])
+        self.w, self.use = w.astype(np.float32), use
         # Neighbouring tags: how much more often a pair occurs at a distance than its tags would by chance.
         count = np.ones((8, 2, 2))
-        for _, label, place in parts:
+        for place, label in parts:
             same = place.doc[1:] == place.doc[:-1]
             d = self.distance(place.b)[1:][same]
             np.add.at(count, (d, label[:-1][same].astype(int), label[1:][same].astype(int)), 1)
         joint = count / count.sum((1, 2), keepdims=True)
         self.tie = TIE * np.log(joint / (joint.sum(2, keepdims=True) * joint.sum(1, keepdims=True)))
 
+    @staticmethod
+    def _dots(parts: list[Places]) -> np.ndarray:
+        """For each hash of a word: 0 if hardly seen, else 1 to 6 by the share of its occurrences that a dot follows where
+        no sentence can end (a small letter, digit or comma comes next)."""
+        seen, dotted = np.zeros(1 << DOT_BITS), np.zeros(1 << DOT_BITS)
+        for p in parts:
+            wordy = np.isin(p.k, (LOWER, UPPER, UNCASED))
+            starts = np.flatnonzero(wordy[1:] & ~wordy[:-1]) + 1
+            stops = np.flatnonzero(wordy[:-1] & ~wordy[1:]) + 1
+            h = hash_words(_lower(p.c), starts, stops[: len(starts)]) if len(starts) else np.zeros(0, np.uint64)
+            np.add.at(seen, (h >> np.uint64(64 - DOT_BITS)).astype(np.int64), 1)
+            sure = p.dot & ~p.quote & np.isin(p.nk, (LOWER, DIGIT, COMMA))
+            np.add.at(dotted, (p.word[sure] >> np.uint64(64 - DOT_BITS)).astype(np.int64), 1)
+        share = dotted / np.maximum(seen, 1)
+        return np.where(seen < 3, 0, 1 + np.minimum((share * 10).astype(int), 5)).astype(np.uint8)
+
     @staticmethod
     def distance(b: np.ndarray) -> np.ndarray:
         d = np.diff(b, prepend=b[:1])
@@ -378,11 +478,8 @@ class Model:
         m = len(p.b)
         if not m:
             return np.zeros(0, bool)
-        score = (self.w[p.features()] * self.scale).sum(1) + PRIOR * (2.0 * p.certain() - 1)
-        score[(p.gap == 3) | p.final] = 1e6
-        score[np.isin(p.nk, (COMMA, CLOSE)) & (p.gap < 2) | (p.nk == LOWER) & (p.gap < 3) & ~p.entry] = -1e6
-        score[p.mark | p.month | (p.gap < 3) & p.dot & ~p.quote & ~p.final & (p.name | p.number & (p.nk == DIGIT))] = -1e6
-        score[(p.pk == COMMA) & ~p.colon & (p.gap < 3) & ~p.next_entry & ~p.final] = -1e6
+        score = self.w[p.features(self.dots)][:, self.use].sum(1).astype(np.float64)
+        score[p.final] = 1e6  # a text ends its last sentence
         doc, first, length = np.unique(p.doc, return_index=True, return_counts=True)
         dist = self.distance(p.b)
         order = np.argsort(-length, kind="stable")
@@ -424,12 +521,12 @@ def spans(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def fit(documents: DataFrame, text: str, sample: int = SAMPLE) -> Model:
-    """The model fitted on about ``sample`` documents, those whose text's hash falls into one of as many parts as
-    leave that number; twice as many at most, whatever the hash does."""
+    """The model fitted on about ``sample`` different texts: those whose hash falls into one of as many parts as leave
+    that number, and of these the ``2 * sample`` first by hash, so that every run draws the same."""
     share = max(1, documents.count() // max(sample, 1))
-    rows = documents.select(F.col(text).alias("t")).where("t is not null and length(t) > 0")
-    rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).limit(2 * sample)
-    return Model(sorted(r[0] for r in rows.collect()))
+    rows = documents.select(F.col(text).alias("t")).where("t is not null and length(t) > 0").withColumn("h", F.xxhash64("t"))
+    rows = rows.where(F.pmod("h", F.lit(share)) == 0).distinct().orderBy("h").limit(2 * sample)
+    return Model(sorted(r["t"] for r in rows.collect()))
 
 
 def split_sentences(documents: DataFrame, key: str, text: str, sample: int = SAMPLE) -> DataFrame:
