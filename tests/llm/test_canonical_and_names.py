@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tramado.llm.canonical import UNLISTED, map_to_catalogue
 from tramado.llm.names import entities, read_name, variant_pairs
 from tramado.llm.pigeonhole import within_edits
+from tramado.llm.queries import WORKS
 
 CATALOGUE = [
     ("planta_desaladora_rilco_fase_ii", "Planta Desaladora Rilcomuntri Fase II", None),
@@ -53,12 +54,33 @@ def test_mapping(spark):
     nothing = ["", " ", "s/i", "-", "no aplica", UNLISTED, None]
     cat = spark.createDataFrame(CATALOGUE, "e string, n string, o string").withColumn("value", F.lit(1))
     df = spark.createDataFrame([(v, "z") for v in [*typed, *typed, *nothing]], "value string, e string")
-    got = map_to_catalogue(df, "value", cat, "e", "n", "o").collect()
+    got = map_to_catalogue(df, "value", cat, "e", "n", "o", {**WORKS, "emb": "embalse", "pe": "parque eolico"}).collect()
     assert {r[0]: r[1] for r in got} == typed and len(got) == len(typed)
     assert map_to_catalogue(df.limit(0), "value", cat, "e", "n", "o").count() == 0
     assert {r[1] for r in map_to_catalogue(df, "value", cat.limit(0), "e", "n", "o").collect()} == {UNLISTED}
 
 
+def test_mapping_to_any_list(spark):
+    """Nothing about the list is in the code: cities, job titles, brands."""
+    names = ["Valparaiso", "Concepcion", "Puerto Montt", "Data Engineer", "Data Analyst", "Senior Data Engineer", "Acme Tools", None]
+    cat = spark.createDataFrame([(f"e{i}", n, "The Garden City" if i == 1 else None) for i, n in enumerate(names)], "e string, n string, o string")
+    typed = {
+        "Valparaiso": "e0", "Valparaizo": "e0", "VALPARAÍSO": "e0", "Concepcion": "e1", "Conception": "e1", "the garden city": "e1", "Puerto Montt": "e2",
+        "Montt, Puerto": "e2", "puerto mont": "e2", "Puerto": UNLISTED, "data enginer": "e3", "Data Engineer": "e3", "DataEngineer": "e3", "data analist": "e4",
+        "Senior Data Engineer": "e5", "acme tols": "e6", "Santiago": UNLISTED, "Painter": UNLISTED,
+    }
+    df = spark.createDataFrame([(v,) for v in typed], "v string")
+    got = {r[0]: r[1] for r in map_to_catalogue(df, "v", cat, "e", "n", "o").collect()}
+    assert {k: (v, got[k]) for k, v in typed.items() if got.get(k) != v} == {}
+
+
+def test_ambiguous_values_are_reported(spark):
+    cat = spark.createDataFrame([("a", "Lago Rendalmir", None), ("b", "Lago Rendalmor", None)], "e string, n string, o string")
+    df = spark.createDataFrame([("lago rendalmer",), ("lago rendalmir",)], "v string")
+    got = map_to_catalogue(df, "v", cat, "e", "n", "o", ambiguous=True).collect()
+    assert [(r[0], r[1]) for r in got] == [("lago rendalmer", ["a", "b"])]
+
+
 @pytest.mark.parametrize(
     "name,parts",
     [

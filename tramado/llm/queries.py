@@ -19,15 +19,35 @@ from .neardup import similar_documents, similar_groups
 from .sentences import split_sentences
 
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Each typed project or label with the catalogue entry it means, or reported as unlisted."""
-    rows = table(spark, d, "node_subhilo_assignment").select(
+# Abbreviations of works and stages that aren't their words' beginnings or initials, and numerals.
+WORKS = {
+    "tqe": "tranque", "pto": "puerto", "tx": "transmision", "pta": "planta", "nte": "norte", "et": "etapa", "f": "fase", "eolica": "eolico", "minera": "minero",
+    "i": "1", "1a": "1", "1o": "1", "1ª": "1", "1º": "1", "uno": "1", "una": "1", "primera": "1",
+    "ii": "2", "2a": "2", "2o": "2", "2ª": "2", "2º": "2", "dos": "2", "segunda": "2",
+    "iii": "3", "3a": "3", "3o": "3", "3ª": "3", "3º": "3", "tres": "3", "tercera": "3",
+    "iv": "4", "4a": "4", "4o": "4", "4ª": "4", "4º": "4", "cuatro": "4", "cuarta": "4",
+}
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "node_subhilo_assignment").select(
         "doc_id", F.explode(F.create_map(F.lit("objeto_original"), F.col("objeto_original"), F.lit("subhilo_primario"), F.col("subhilo_primario"))).alias("campo", "valor")
     ).where(known(F.col("valor"))).distinct()
-    meant = map_to_catalogue(rows, "valor", table(spark, d, "subhilo_catalogo"), "subhilo_id", "nombre", "otro_nombre")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each typed project or label with the catalogue entry it means, or reported as unlisted."""
+    rows = _typed(spark, d)
+    meant = map_to_catalogue(rows, "valor", table(spark, d, "subhilo_catalogo"), "subhilo_id", "nombre", "otro_nombre", WORKS)
     return rows.join(meant, "valor").select("doc_id", "campo", "subhilo_id").distinct()
 
 
+def p1_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that mean several entries alike, with those entries."""
+    x = map_to_catalogue(_typed(spark, d), "valor", table(spark, d, "subhilo_catalogo"), "subhilo_id", "nombre", "otro_nombre", WORKS, ambiguous=True)
+    return x.select("valor", F.array_join("entries", ";").alias("subhilos"))
+
+
 def p1_unlisted(spark: SparkSession, d: str) -> DataFrame:
     """How many documents name something, by field and whether it is listed."""
     found = p1_found(spark, d)
@@ -124,7 +144,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p5_found, p5_group_sizes, p6_found, p6_groups,
+        p1_found, p1_ambiguous, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p5_found, p5_group_sizes, p6_found, p6_groups,
         p7_found, p8_mix, p8_shares, p9_found,
     )
 }
