@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramado.llm.canonical import UNLISTED, map_to_catalogue
+from tramado.llm.lexicon import Lexicon
 from tramado.llm.names import entities, read_name, variant_pairs
 from tramado.llm.pigeonhole import within_edits
 from tramado.llm.queries import WORKS
@@ -110,6 +111,30 @@ def test_variants(spark):
     assert entities(df.limit(0), "entity").count() == 0
 
 
+def test_variants_with_another_lexicon(spark):
+    """Names of another language: given names, kinds and short forms come with the lexicon, or there are none."""
+    english = Lexicon(kinds={"council": "council", "union": "union", "mining": "mining"}, heads=("company", "city"), stop=("the", "of", "and"), titles=("mr", "mrs", "dr"), given=("margaret", "robert", "john"), short={"peggy": "margaret", "bob": "robert"})
+    groups = [
+        ["Margaret Thompson", "Peggy Thompson", "THOMPSON, Margaret", "Dr. Margaret Thomson", "Margaret Thompsno"], ["Robert Thompson", "Bob Thompson"],
+        ["Acme Holdings Inc", "ACME Holdings, Inc.", "Acme Holdigns Inc"], ["Mining Company of Redrock", "Redrock Mining"], ["Redrock Council"],
+    ]
+    names = [n for g in groups for n in g] + ["Margaret Thompson"] * 4 + ["Acme Holdings Inc"] * 2
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+    assert {tuple(r) for r in variant_pairs(df, "n", english).collect()} == want
+    got = {r[0]: r[1] for r in entities(df, "n", english).collect()}
+    assert [len({got[n] for n in g}) for g in groups] == [1] * 5 and len(set(got.values())) == 5
+    assert variant_pairs(df, "n", Lexicon()).count() > 0
+
+
+def test_links_depend_on_shares_only(spark):
+    """The same names twice, or ten times as often, link alike."""
+    names = ["Minera Calcheruntu S.A."] * 4 + ["Minera Calcherunti S.A."] + ["Minera Pelmuchanfe S.A."] * 3 + ["Minera Pelmuchanfa S.A."] * 3
+    for times in (1, 10):
+        df = spark.createDataFrame([(n,) for n in names * times], "n string")
+        assert [tuple(r) for r in variant_pairs(df, "n").collect()] == [("Minera Calcherunti S.A.", "Minera Calcheruntu S.A.")]
+
+
 def test_ambiguous_initials_stay_apart(spark):
     df = spark.createDataFrame([(n,) for n in ("Isabel Chinyudi Filulche", "Ignacio Chinyudi Filulche", "I. Chinyudi Filulche")], "n string")
     assert variant_pairs(df, "n").count() == 0

@@ -47,21 +47,23 @@ def _in_order(what: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(F.col(what), F.struct("pos", "word")))), lambda x: x["word"])
 
 
-def _entries(catalogue: DataFrame, entry: str, name: str, synonyms: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def _entries(catalogue: DataFrame, entry: str, name: str, synonyms: dict[str, str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``(entry, core, phrase, suffix)`` of each name, and its words by role: ``(ref, role, val)``."""
     w = catalogue.where(F.col(name).isNotNull()).select(entry, F.posexplode(_words(F.col(name), synonyms)).alias("pos", "word")).where("word <> ''")
-    w = w.join(w.groupBy("word").agg(F.count_distinct(entry).alias("df")), "word")
+    w = scratch.write(w)
+    w = scratch.write(w.join(w.groupBy("word").agg(F.count_distinct(entry).alias("df")), "word"))
     rarest = F.min(F.struct((F.length("word") < 4).alias("short"), "df", (-F.length("word")).alias("l"), F.col("pos").alias("at"), F.col("word").alias("core")))
     first = F.min_by("word", "pos")
     head = w.groupBy(entry).agg(rarest.alias("c"), first.alias("first")).select(entry, F.col("c.at").alias("at"), F.col("c.core").alias("core"), "first")
-    w = w.join(head, entry)
+    w = scratch.write(w.join(head, entry))
     wide = w.where("pos < at and word <> first").groupBy("word").agg(F.count_distinct("first").alias("kinds")).where(F.col("kinds") >= WIDE).select("word")
-    w = w.join(wide.withColumn("wide", F.lit(True)), "word", "left").withColumns({"tells": F.expr("pos < at and wide is null"), "ends": F.col("pos") > F.col("at")})
+    w = scratch.write(w.join(wide.withColumn("wide", F.lit(True)), "word", "left").withColumns({"tells": F.expr("pos < at and wide is null"), "ends": F.col("pos") > F.col("at")}))
     e = w.groupBy(entry, "core").agg(F.array_join(_in_order("tells"), " ").alias("phrase"), F.array_sort(F.collect_set(F.when(F.col("ends"), F.col("word")))).alias("suffix"))
+    e = scratch.write(e)
     phrases = e.select("phrase").where("phrase <> ''").distinct()
     kind = phrases.select("phrase", F.explode(F.split("phrase", " ")).alias("ref"))
     one = lambda d: d.groupBy("ref").agg(F.count_distinct("phrase").alias("k"), F.min("phrase").alias("val")).where("k = 1").select("ref", F.lit("kind").alias("role"), "val")
-    telling = one(kind)
+    telling = scratch.write(one(kind))
     # Short for a kind: its words' initials, and beginnings of three letters or more of its telling words.
     initials = phrases.where("phrase like '% %'").select("phrase", F.array_join(F.transform(F.split("phrase", " "), lambda x: F.substring(x, 1, 1)), "").alias("ref"))
     long_ = telling.where("length(ref) > 3")
@@ -90,8 +92,8 @@ def map_to_catalogue(values: DataFrame, value: str, catalogue: DataFrame, entry:
     v = scratch.write(values.select(F.col(value).alias("value")).where(known(F.col(value))).distinct().withColumn("words", _words(F.col("value"), synonyms)))
     vw = v.select("value", F.explode(F.array_distinct("words")).alias("word")).where("word <> ''")
     c = catalogue.select(F.col(entry).alias("entry"), F.col(name).alias("name"), F.col(other).alias("other"))
-    e, roles = _entries(c, "entry", "name", synonyms)
-    e = scratch.write(e)
+    e, roles = _entries(c, "entry", "name", synonyms, scratch)
+    roles = scratch.write(roles)
     # Another name is known by its rarest word that is no word of the names.
     o = c.where("other is not null").select("entry", F.explode(_words(F.col("other"), synonyms)).alias("word")).where("word <> ''")
     o = o.join(o.groupBy("word").agg(F.count_distinct("entry").alias("df")), "word")
@@ -107,7 +109,7 @@ def map_to_catalogue(values: DataFrame, value: str, catalogue: DataFrame, entry:
 
     words = scratch.write(vw.select("word").distinct())
     refs = roles.where(F.length("ref") >= F.when(F.col("role") == "short", 5).otherwise(4)).select("ref").distinct()
-    near = within_edits(words, "word", refs, "ref", EDITS)
+    near = scratch.write(within_edits(words, "word", refs, "ref", EDITS))
     swapped = F.array_sort(F.split("word", "")) == F.array_sort(F.split("ref", ""))
     brief = roles.where("role = 'short'").select("ref", F.lit(True).alias("brief")).distinct()
     near = near.join(brief, "ref", "left").where((F.col("edits") <= F.when((F.length("ref") < 6) | F.col("brief"), 1).otherwise(EDITS)) | swapped).select("word", "ref", "edits")

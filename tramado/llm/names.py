@@ -3,8 +3,9 @@
 A name is read into parts: for an organisation its kind, number and proper name; for a person the given name (or its
 initial) and surnames. Kinds and numbers must agree exactly. Proper names and surnames are mistyped freely, so they are
 compared as text: each is cut into k+1 segments, position-shifted substrings are looked up in an inverted index of
-segments, and candidates are verified by banded edit distance. A rare spelling joins the most frequent spelling within
-one edit (or one swap of neighbours), never the other way round, so chains of typing errors don't run across names.
+segments, and candidates are verified by banded edit distance. A spelling joins the most frequent one near it, never
+the other way round, so chains of typing errors don't run across names. Which words tell kinds, given names and short
+forms is data (:class:`Lexicon`), not part of the method.
 Reduced forms (initials, one surname) join a full name only where there is just one that they can stand for.
 """
 
@@ -12,68 +13,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MISREAD
 from ..sources.tables import Scratch
+from .lexicon import SPANISH, Lexicon, nearest
 from .pigeonhole import probes, segments
 
 EDITS = 2
-RARE = 3
-# What tells the kind of an organisation, by word and by abbreviation.
-KIND_WORDS = {
-    "vecinos": "jv", "vecinal": "jv", "jv": "jv", "jjvv": "jv",
-    "defensa": "cda", "def": "cda", "cda": "cda",
-    "pescadores": "spa", "pesc": "spa", "spa": "spa",
-    "regantes": "ar", "ar": "ar",
-    "indigena": "ci", "ind": "ci", "ci": "ci",
-    "campesina": "cc", "camp": "cc", "cc": "cc",
-    "ambiental": "aa", "amb": "aa", "aa": "aa",
-    "fundacion": "f", "fund": "f",
-    "frente": "fpa", "fte": "fpa", "fpa": "fpa",
-    "minera": "minera", "min": "minera", "forestal": "forestal", "for": "forestal",
-    "constructora": "constructora", "constr": "constructora", "const": "constructora",
-    "agricola": "agricola", "agric": "agricola",
-}
-# Words that belong to kinds without telling them apart; the weak ones only beside a word that does.
-HEADS = ("junta", "jta", "comite", "sindicato", "sind", "asociacion", "asoc", "comunidad", "cooperativa", "coop", "agrupacion", "agrup", "artesanales", "agua", "aguas", "empresa", "compania", "sociedad", "cia", "soc", "reg", "vec")
-WEAK = ("com", "agr", "art", "a", "c", "j", "f", "s", "cte")
-STOP = ("de", "del", "dde", "dee", "ed", "deel", "dell", "la", "el", "los", "las", "por", "para", "y", "numero", "nro", "num", "n", "no")
-TITLES = ("ing", "lic", "prof", "profa", "dr", "dra", "sr", "sra", "srta", "don", "dona", "abg", "arq")
-# Given names and their short forms.
-GIVEN = (
-    "agueda alberto alejandra alejandro alfredo alicia alonso amalia amanda ana andrea andres angel angela antonia antonio "
-    "arturo beatriz benjamin bernarda bernardo camila carla carlos carmen carolina catalina cecilia cesar clara claudia "
-    "claudio cristian cristina cristobal daniel daniela david diego dolores eduardo elena elisa emilia emilio enrique "
-    "ernesto esteban eugenia eva fabian felipe fernanda fernando francisca francisco gabriel gabriela gerardo gloria "
-    "gonzalo graciela gregorio guillermo gustavo hector hernan hortensia hugo humberto ignacia ignacio ines irene isabel "
-    "ivan jaime javier jorge jose josefa joaquin juan juana julia julio karina laura leonardo leonor lidia lorena lorenzo "
-    "lucia luis luisa magdalena manuel manuela marcela marcelo marco margarita maria mario marta martin mateo matias "
-    "mauricio mercedes miguel monica nicolas octavio olga oscar pablo paola patricia patricio paula pedro pilar rafael "
-    "ramon raul rebeca ricardo roberto rodrigo rosa ruben samuel sandra sebastian sergio silvia sofia susana tomas teresa "
-    "ursula valentina veronica vicente victor victoria violeta wenceslao yolanda zoila"
-).split()
-SHORT = {
-    "goyo": "gregorio", "jano": "alejandro", "ale": "alejandro", "nacho": "ignacio", "nando": "fernando", "tencha": "hortensia",
-    "tina": "cristina", "tavo": "octavio", "bea": "beatriz", "manolo": "manuel", "toña": "antonia", "tona": "antonia",
-    "yoli": "yolanda", "pancho": "francisco", "paco": "francisco", "rafa": "rafael", "seba": "sebastian", "lola": "dolores",
-    "chabela": "isabel", "beto": "roberto", "quique": "enrique", "kike": "enrique", "pati": "patricia", "paty": "patricia",
-    "meche": "mercedes", "lalo": "eduardo", "tomi": "tomas", "wences": "wenceslao", "lucho": "luis", "nico": "nicolas",
-    "chela": "graciela", "pepe": "jose", "memo": "guillermo", "concha": "concepcion", "charo": "rosario", "coni": "constanza",
-    "maca": "macarena", "cata": "catalina", "caro": "carolina", "pedrito": "pedro", "panchita": "francisca", "vale": "valentina",
-}
-# What stands for nobody.
-NOBODY = {
-    "", "s i", "si", "n a", "na", "no aplica", "desconocido", "desconocida", "no especificado", "sin informacion", "sin datos",
-    "ninguno", "null", "none", "vecinos", "vecinas", "vecinos del sector", "comunidad", "comunidades", "pobladores", "habitantes",
-    "organizaciones", "trabajadores", "autoridades", "empresa", "municipalidad", "varios", "otros", "anonimo",
-}
+#: From so many letters two edits count; how much more often a spelling must occur to stand for another one.
+LONG = 8
+RATIO = 2
 _TOKEN = re.compile(r"[^\W_]+")
-_LEGAL = re.compile(r"[\s,]+(?:s\.?\s?a\.?|ltda\.?|s\.?p\.?a\.)\s*$", re.I)
 _NUMBER = re.compile(r"\bn(?:[.°º]|ro|um|umero|o)*\s*(\d+)\b", re.I)
 
 
@@ -85,82 +40,58 @@ def _fold(s: str) -> str:
     return "".join(c for c in s if not unicodedata.combining(c))
 
 
-def _near(word: str, known: dict[str, str]) -> str | None:
-    """The known word within one edit or one swap of neighbours; ``known`` maps words with one letter left out."""
-    if word in known:
-        return known[word]
-    for i in range(len(word)):
-        got = known.get(word[:i] + "*" + word[i + 1 :]) or known.get(word[:i] + word[i + 1 :]) or known.get(word[:i] + "*" + word[i:])
-        if got is None and i + 1 < len(word):
-            got = known.get("~" + word[:i] + word[i + 1] + word[i] + word[i + 2 :])
-        if got:
-            return got
-    return known.get(word + "*")
-
-
-def _index(words: dict[str, str], least: int) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for w, v in words.items():
-        if len(w) >= least:
-            for i in range(len(w)):
-                out.setdefault(w[:i] + "*" + w[i + 1 :], v)
-            for i in range(len(w)):
-                out.setdefault(w[:i] + w[i + 1 :], v) if len(w) > least else None
-            out.setdefault("~" + w, v)
-    for w, v in words.items():
-        out[w] = v
-    return out
+_EMPTY = ("", "", "", "", "", "", "")
 
 
-_KIND = _index(KIND_WORDS | dict.fromkeys(HEADS, "-"), 5)
-_NAMES = _index({n: n for n in GIVEN} | SHORT, 5)
-_EMPTY = ("", "", "", "", "", "", "")
+def _legal(s: str, forms: tuple[str, ...]) -> str:
+    """A name without its form of company."""
+    for form in forms:
+        got = re.sub(r"[\s,]+" + form + r"\s*$", "", s)
+        if got != s:
+            return got
+    return s
 
 
-def _kind_of(tokens: list[str]) -> tuple[str, list[str]]:
+def _kind_of(tokens: list[str], lex: Lexicon) -> tuple[str, list[str]]:
     """The kind the words tell, and the words left over."""
     kind, rest, heads = "", [], False
     for t in tokens:
-        k = KIND_WORDS.get(t)
-        if k is None and t not in HEADS and len(t) >= 4:
-            k = _near(t, _KIND)
-        elif k is None and t in HEADS:
+        k = lex.kinds.get(t)
+        if k is None and t not in lex.heads and len(t) >= 4:
+            k = nearest(t, lex.kind_index)
+        elif k is None and t in lex.heads:
             k = "-"
         if k is None:
             rest.append(t)
             continue
         heads = True
         k = "" if k == "-" else k
-        if k and (not kind or kind == k or (k in ("cda", "jv") and kind == "fpa")):
-            kind = k if not kind else kind
+        if k and (not kind or kind == k or k in lex.kinds_over.get(kind, ())):
+            kind = kind or k
         elif k and kind != k:
             rest.append(t)
+    alone = next((t for t in rest if t in lex.weak_kinds), None)
     if kind or heads:
-        left = [t for t in rest if t not in WEAK]
-        if not kind and "agr" in rest:
-            kind = "agricola"
-        elif not kind and "f" in rest:
-            kind = "f"
-        return kind, left
-    if "agr" in rest:
-        return "agricola", [t for t in rest if t != "agr"]
+        return kind or lex.weak_kinds.get(alone, ""), [t for t in rest if t not in lex.weak]
+    if alone and len(alone) > 1:
+        return lex.weak_kinds[alone], [t for t in rest if t != alone]
     return "", rest
 
 
-def read_name(name: str | None) -> tuple[str, str, str, str, str, str, str]:
+def read_name(name: str | None, lex: Lexicon = SPANISH) -> tuple[str, str, str, str, str, str, str]:
     """The parts of a name: kind (``per`` for people), number, given name, its initial, first name part (surname or
     proper name), second surname, its initial. All empty if the name names nobody."""
     if not name or not name.strip():
         return _EMPTY
     s = _fold(name.strip())
-    if " ".join(_TOKEN.findall(s)) in NOBODY:
+    if " ".join(_TOKEN.findall(s)) in lex.nobody:
         return _EMPTY
     inner = re.findall(r"\(([^)]*)\)", s)
     s = re.sub(r"\([^)]*\)", " ", s)
     nick = re.findall(r"[\"“”'](\w+)[\"“”']", s)
     s = re.sub(r"[\"“”']\w+[\"“”']", " ", s)
     s = s.replace('"', " ").replace("jj.vv", "jjvv")
-    bare = _LEGAL.sub("", s)
+    bare = _legal(s, lex.legal)
     legal, s = bare != s, bare
     number = ""
     m = _NUMBER.search(s)
@@ -175,28 +106,29 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, str, str]:
         number = next(t for t in tokens if t.isdigit()).lstrip("0") or "0"
         tokens = [t for t in tokens if not t.isdigit()]
     first = tokens[0] if tokens else ""
-    person = not legal and not number and (first in GIVEN_SET or first in SHORT) and not any(t in KIND_WORDS or t in HEADS for t in tokens[1:])
+    person = not legal and not number and (first in lex.people or first in lex.short) and not any(t in lex.kinds or t in lex.heads for t in tokens[1:])
     if not person:
-        kind, rest = _kind_of([t for t in tokens if t not in STOP or len(tokens) < 2])
+        kind, rest = _kind_of([t for t in tokens if t not in lex.stop or len(tokens) < 2], lex)
         if not kind:
             for part in inner:
-                k = KIND_WORDS.get(part.strip()) or (part.strip() if part.strip() == "f" else "")
-                kind = kind or k
+                kind = kind or lex.kinds.get(part.strip()) or (lex.weak_kinds.get(part.strip(), "") if len(part.strip()) == 1 else "")
+        if not kind and (legal or number):
+            kind = "org"  # a company or a numbered body of a kind that isn't known
         if kind:
             # A mistyped "de" or "del" is no part of the name.
-            core = "".join(t for t in rest if t not in STOP and not (len(t) < 4 and ("d" in t or "e" in t) and len(rest) > 1))
+            core = "".join(t for t in rest if t not in lex.stop and not (len(t) < 4 and ("d" in t or "e" in t) and len(rest) > 1))
             return (kind, number, "", "", core, "", "") if len(core) > 2 else _EMPTY
         if rest != tokens and not rest:
             return _EMPTY
-    tokens = [t for t in tokens if t not in TITLES]
+    tokens = [t for t in tokens if t not in lex.titles]
     if len(tokens) < 2 and not (nick and tokens):
         return _EMPTY
     given = initial = ""
-    at = next((i for i, t in enumerate(tokens) if t in GIVEN_SET or t in SHORT), None)
+    at = next((i for i, t in enumerate(tokens) if t in lex.people or t in lex.short), None)
     if at is None and not (len(tokens[0]) == 1):
-        at = next((i for i, t in enumerate(tokens) if len(t) > 3 and _near(t, _NAMES)), None)
+        at = next((i for i, t in enumerate(tokens) if len(t) > 3 and nearest(t, lex.name_index)), None)
     if at is not None:
-        given = SHORT.get(tokens[at]) or (tokens[at] if tokens[at] in GIVEN_SET else _near(tokens[at], _NAMES) or "")
+        given = lex.short.get(tokens[at]) or (tokens[at] if tokens[at] in lex.people else nearest(tokens[at], lex.name_index) or "")
         tokens = tokens[:at] + tokens[at + 1 :]
     elif len(tokens[0]) == 1:
         initial, tokens = tokens[0], tokens[1:]
@@ -205,63 +137,80 @@ def read_name(name: str | None) -> tuple[str, str, str, str, str, str, str]:
     initial = given[:1] or initial
     if tokens and tokens[0] == given:
         tokens = tokens[1:]
-    tokens = [t for t in tokens if t not in STOP]
+    tokens = [t for t in tokens if t not in lex.stop]
     if not tokens or len(tokens[0]) < 3:
         return _EMPTY
     second = tokens[1] if len(tokens) > 1 else ""
     return ("per", "", given, initial, tokens[0], second if len(second) > 1 else "", second[:1])
 
 
-GIVEN_SET = frozenset(GIVEN)
-_SCHEMA = "name string, kind string, num string, given string, ini string, one string, two string, two_ini string"
+_SCHEMA = "name string, n long, kind string, num string, given string, ini string, one string, two string, two_ini string"
+
 
+def _reader(lex: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0)
+            parts = [read_name(x, lex) for x in names.to_pylist()]
+            cols = list(zip(*parts)) if parts else [[]] * 7
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), batch.column(1), *[pa.array(c, pa.string()) for c in cols]], ["name", "n", "kind", "num", "given", "ini", "one", "two", "two_ini"])
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.column(0)
-        parts = [read_name(x) for x in names.to_pylist()]
-        cols = list(zip(*parts)) if parts else [[]] * 7
-        yield pa.RecordBatch.from_arrays([names.cast(pa.string()), *[pa.array(c, pa.string()) for c in cols]], ["name", "kind", "num", "given", "ini", "one", "two", "two_ini"])
+    return read
 
 
-def canonical_spellings(words: DataFrame) -> DataFrame:
-    """``(block, text, best)`` for ``words`` (columns block, text, n): the spelling each text stands for within its
-    block: the most frequent one within one edit or swap. It must be three times as frequent, or, for texts seen up to
-    ``RARE`` times, more frequent (ties: the smaller). Texts without such a neighbour are not in the result."""
+def canonical_spellings(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """``(block, text, best)`` for ``words`` (columns block, text, n): the spelling each text stands for within its block:
+    of those one edit or one swap of neighbours away (two edits from ``LONG`` letters) the most frequent (ties: the
+    smaller), if it occurs at least ``ratio`` times as often. With ``ratio`` 1, for blocks that hold what else agrees,
+    the more frequent one, of equally frequent ones the smaller. Only shares count, so more data of the same kind gives
+    the same links. Texts without such a neighbour are not in the result."""
     text = words.where(F.length("text") > EDITS)
-    probe = probes(text.select("block", "text", "n"), "text", EDITS, shifts=(-1, 0))
+    probe = probes(text.select("block", "text", "n"), "text", EDITS)
     index = segments(text.select("block", F.col("text").alias("other"), F.col("n").alias("m")), "other", EDITS)
-    j = probe.join(index, ["block", "seg_n", "seg_i", "seg"]).where(F.col("text") != F.col("other"))
+    j = probe.join(index, ["block", "seg_n", "seg_i", "seg"])
+    more = F.col("m") >= ratio * F.col("n")
+    j = j.where((F.col("text") != F.col("other")) & more & ((F.col("m") > F.col("n")) | (F.col("other") < F.col("text"))))
     j = j.select("block", "text", "n", "other", "m").distinct()
     edits = F.levenshtein("text", "other", EDITS)
     swap = F.array_sort(F.split("text", "")) == F.array_sort(F.split("other", ""))
-    near = j.where((edits == 1) | ((edits == 2) & swap & (F.length("text") == F.length("other"))))
-    both = near.union(near.select("block", F.col("other").alias("text"), F.col("m").alias("n"), F.col("text").alias("other"), F.col("n").alias("m")))
-    rarer = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("other") < F.col("text")))
-    up = both.where((F.col("m") >= 3 * F.col("n")) | (rarer & (F.col("n") <= RARE))).groupBy("block", "text").agg(F.min(F.struct(-F.col("m"), F.col("other")))["other"].alias("best"))
+    wide = (edits == 2) & ((swap & (F.length("text") == F.length("other"))) | (F.least(F.length("text"), F.length("other")) >= LONG))
+    near = j.where((edits == 1) | wide)
+    up = near.groupBy("block", "text").agg(F.min(F.struct(-F.col("m"), F.col("other")))["other"].alias("best"))
     # A rare spelling of a rare spelling: one more step up.
     far = up.alias("a").join(up.select("block", F.col("text").alias("best"), F.col("best").alias("top")).alias("b"), ["block", "best"], "left")
     return far.select("block", "text", F.coalesce("top", "best").alias("best"))
 
 
-def _respelled(forms: DataFrame, column: str, block) -> DataFrame:
+def _respelled(forms: DataFrame, column: str, block: Column, ratio: int = RATIO) -> DataFrame:
+    """``forms`` with ``column`` respelled within ``block``; where that is null, as it is."""
     with_block = forms.withColumn("block", block)
-    words = with_block.where(F.col(column) != "").groupBy("block", F.col(column).alias("text")).agg(F.count("*").alias("n"))
-    best = canonical_spellings(words).select("block", F.col("text").alias(column), "best")
+    words = with_block.where((F.col(column) != "") & F.col("block").isNotNull()).groupBy("block", F.col(column).alias("text")).agg(F.sum("n").alias("n"))
+    best = canonical_spellings(words, ratio).select("block", F.col("text").alias(column), "best")
     return with_block.join(best, ["block", column], "left").withColumn(column, F.coalesce("best", column)).drop("best", "block")
 
 
-def entities(names: DataFrame, column: str) -> DataFrame:
-    """Distinct names with the entity each stands for, ``(name, entity)``. Names that name nobody (null, blank,
-    placeholders, generic words, an organisation's kind alone) are left out. An empty table gives an empty one; columns
-    other than ``column`` aren't read. Repeated names add nothing."""
+def entities(names: DataFrame, column: str, lexicon: Lexicon = SPANISH) -> DataFrame:
+    """Distinct names with the entity each stands for, ``(name, entity)``: a row per spelling, however many there are of
+    one name. Names that name nobody (null, blank, placeholders, generic words, an organisation's kind alone) are left
+    out. An empty table gives an empty one; columns other than ``column`` aren't read. Repeated names only count for
+    which spelling is the more frequent."""
     scratch = Scratch(names.sparkSession, "names")
-    distinct = names.select(F.trim(F.regexp_replace(column, "^[\\s\\u00a0]+|[\\s\\u00a0]+$", "")).alias("name")).where("name <> ''").distinct()
-    read = scratch.write(distinct.mapInArrow(_read, _SCHEMA).where("kind <> ''"))
-    forms = _respelled(read, "one", F.concat_ws("|", "kind", "num", "ini"))
-    forms = _respelled(forms, "two", F.concat_ws("|", "kind", "ini", F.when(F.col("kind") == "per", F.col("one")).otherwise("")))
-    forms = scratch.write(forms)
-    scratch.drop(read)
+    trimmed = names.select(F.trim(F.regexp_replace(column, "^[\\s\\u00a0]+|[\\s\\u00a0]+$", "")).alias("name")).where("name <> ''")
+    distinct = trimmed.groupBy("name").agg(F.count("*").alias("n"))
+    read = scratch.write(distinct.mapInArrow(_reader(lexicon), _SCHEMA).where("kind <> ''"))
+    # Where a given name and the other surname agree, one spelling is as good as another; elsewhere it must be the rarer.
+    known = (F.col("kind") == "per") & (F.col("given") != "")
+    steps = [
+        ("one", F.when(known & (F.col("two") != ""), F.concat_ws("|", "given", "two")), 1),
+        ("one", F.concat_ws("|", "kind", "num", "ini"), RATIO),
+        ("two", F.when(known, F.concat_ws("|", "given", "one")), 1),
+        ("two", F.concat_ws("|", "kind", "ini", F.when(F.col("kind") == "per", F.col("one")).otherwise("")), RATIO),
+    ]
+    forms = read
+    for column, block, ratio in steps:
+        now = scratch.write(_respelled(forms, column, block, ratio))
+        scratch.drop(forms)
+        forms = now
     orgs = forms.where("kind <> 'per'").select("name", F.concat_ws("|", "kind", "num", "one").alias("entity"))
     people = forms.where("kind = 'per'")
     key = people.select("given", "ini", "one", "two", "two_ini").distinct()
@@ -288,9 +237,9 @@ def entities(names: DataFrame, column: str) -> DataFrame:
     return orgs.union(people.join(r, ["given", "ini", "one", "two", "two_ini"]).select("name", "entity"))
 
 
-def variant_pairs(names: DataFrame, column: str) -> DataFrame:
+def variant_pairs(names: DataFrame, column: str, lexicon: Lexicon = SPANISH) -> DataFrame:
     """Pairs ``(nombre_a, nombre_b)``, a < b, of different strings that name the same person or organisation. Every
-    pair within an entity is given, since the result is defined as pairs."""
-    e = Scratch(names.sparkSession, "entities").write(entities(names, column))
+    pair within an entity is given, since the result is defined as pairs; :func:`entities` has a row per string."""
+    e = Scratch(names.sparkSession, "entities").write(entities(names, column, lexicon))
     a, b = e.select("entity", F.col("name").alias("nombre_a")), e.select("entity", F.col("name").alias("nombre_b"))
     return a.join(b, "entity").where("nombre_a < nombre_b").select("nombre_a", "nombre_b")

@@ -14,7 +14,7 @@ from .components import connected_groups
 from .consensus import consensus
 from .leakage import leaked_items
 from .mixing import mix, quality, token_counts
-from .names import variant_pairs
+from .names import entities, variant_pairs
 from .neardup import similar_documents, similar_groups
 from .sentences import split_sentences
 
@@ -86,11 +86,20 @@ def p3_annotators(spark: SparkSession, d: str) -> DataFrame:
     return _consensus(spark, d)[1]
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Spellings of people and organisations that name the same one."""
+def _names(spark: SparkSession, d: str) -> DataFrame:
     typed = table(spark, d, "f0_referent_coverage").select(F.col("llm_demandant_actor_name").alias("nombre"))
     packed = explode_packed(table(spark, d, "h0000_02_node_metrics"), "doc_id", "actores").select(F.col("valor").alias("nombre"))
-    return variant_pairs(typed.union(packed), "nombre")
+    return typed.union(packed)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of people and organisations that name the same one."""
+    return variant_pairs(_names(spark, d), "nombre")
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each spelling with the person or organisation it names."""
+    return entities(_names(spark, d), "nombre").select(F.col("name").alias("nombre"), F.col("entity").alias("entidad"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +153,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_ambiguous, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p5_found, p5_group_sizes, p6_found, p6_groups,
+        p1_found, p1_ambiguous, p1_unlisted, p3_found, p3_agreement, p3_annotators, p4_found, p4_entities, p5_found, p5_group_sizes, p6_found, p6_groups,
         p7_found, p8_mix, p8_shares, p9_found,
     )
 }
