@@ -25,9 +25,9 @@ from .lexicon import SPANISH, Lexicon, nearest
 from .pigeonhole import probes, segments
 
 EDITS = 2
-#: From so many letters two edits count; how much more often a spelling must occur to stand for another one.
+#: From so many letters two edits count; how many times as many names a spelling must have to stand for another one.
 LONG = 8
-RATIO = 2
+RATIO = 1.5
 _TOKEN = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"\bn(?:[.°º]|ro|um|umero|o)*\s*(\d+)\b", re.I)
 
@@ -144,7 +144,7 @@ def read_name(name: str | None, lex: Lexicon = SPANISH) -> tuple[str, str, str,
     return ("per", "", given, initial, tokens[0], second if len(second) > 1 else "", second[:1])
 
 
-_SCHEMA = "name string, n long, kind string, num string, given string, ini string, one string, two string, two_ini string"
+_SCHEMA = "name string, kind string, num string, given string, ini string, one string, two string, two_ini string"
 
 
 def _reader(lex: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -153,27 +153,30 @@ def _reader(lex: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             names = batch.column(0)
             parts = [read_name(x, lex) for x in names.to_pylist()]
             cols = list(zip(*parts)) if parts else [[]] * 7
-            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), batch.column(1), *[pa.array(c, pa.string()) for c in cols]], ["name", "n", "kind", "num", "given", "ini", "one", "two", "two_ini"])
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), *[pa.array(c, pa.string()) for c in cols]], ["name", "kind", "num", "given", "ini", "one", "two", "two_ini"])
 
     return read
 
 
-def canonical_spellings(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+def canonical_spellings(words: DataFrame, ratio: float = RATIO) -> DataFrame:
     """``(block, text, best)`` for ``words`` (columns block, text, n): the spelling each text stands for within its block:
-    of those one edit or one swap of neighbours away (two edits from ``LONG`` letters) the most frequent (ties: the
-    smaller), if it occurs at least ``ratio`` times as often. With ``ratio`` 1, for blocks that hold what else agrees,
-    the more frequent one, of equally frequent ones the smaller. Only shares count, so more data of the same kind gives
-    the same links. Texts without such a neighbour are not in the result."""
+    of those one edit or one swap of neighbours away the one that the most names carry
+    (``n``: different strings, so repeated rows don't count; ties: the smaller), if they are at least ``ratio`` times as
+    many, or if both spellings have one name only. With ``ratio`` 1, for blocks that hold what else agrees, the one with
+    more names, of equal ones the smaller; there two edits count from ``LONG`` letters. Texts without such a neighbour are not in the result."""
     text = words.where(F.length("text") > EDITS)
     probe = probes(text.select("block", "text", "n"), "text", EDITS)
     index = segments(text.select("block", F.col("text").alias("other"), F.col("n").alias("m")), "other", EDITS)
     j = probe.join(index, ["block", "seg_n", "seg_i", "seg"])
-    more = F.col("m") >= ratio * F.col("n")
+    more = (F.col("m") >= ratio * F.col("n")) | (F.col("n") == 1)
     j = j.where((F.col("text") != F.col("other")) & more & ((F.col("m") > F.col("n")) | (F.col("other") < F.col("text"))))
     j = j.select("block", "text", "n", "other", "m").distinct()
     edits = F.levenshtein("text", "other", EDITS)
     swap = F.array_sort(F.split("text", "")) == F.array_sort(F.split("other", ""))
-    wide = (edits == 2) & ((swap & (F.length("text") == F.length("other"))) | (F.least(F.length("text"), F.length("other")) >= LONG))
+    wide = swap & (F.length("text") == F.length("other"))
+    if ratio == 1:
+        wide = wide | (F.least(F.length("text"), F.length("other")) >= LONG)
+    wide = (edits == 2) & wide
     near = j.where((edits == 1) | wide)
     up = near.groupBy("block", "text").agg(F.min(F.struct(-F.col("m"), F.col("other")))["other"].alias("best"))
     # A rare spelling of a rare spelling: one more step up.
@@ -181,10 +184,10 @@ def canonical_spellings(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return far.select("block", "text", F.coalesce("top", "best").alias("best"))
 
 
-def _respelled(forms: DataFrame, column: str, block: Column, ratio: int = RATIO) -> DataFrame:
+def _respelled(forms: DataFrame, column: str, block: Column, ratio: float = RATIO) -> DataFrame:
     """``forms`` with ``column`` respelled within ``block``; where that is null, as it is."""
     with_block = forms.withColumn("block", block)
-    words = with_block.where((F.col(column) != "") & F.col("block").isNotNull()).groupBy("block", F.col(column).alias("text")).agg(F.sum("n").alias("n"))
+    words = with_block.where((F.col(column) != "") & F.col("block").isNotNull()).groupBy("block", F.col(column).alias("text")).agg(F.count("*").alias("n"))
     best = canonical_spellings(words, ratio).select("block", F.col("text").alias(column), "best")
     return with_block.join(best, ["block", column], "left").withColumn(column, F.coalesce("best", column)).drop("best", "block")
 
@@ -192,11 +195,10 @@ def _respelled(forms: DataFrame, column: str, block: Column, ratio: int = RATIO)
 def entities(names: DataFrame, column: str, lexicon: Lexicon = SPANISH) -> DataFrame:
     """Distinct names with the entity each stands for, ``(name, entity)``: a row per spelling, however many there are of
     one name. Names that name nobody (null, blank, placeholders, generic words, an organisation's kind alone) are left
-    out. An empty table gives an empty one; columns other than ``column`` aren't read. Repeated names only count for
-    which spelling is the more frequent."""
+    out. An empty table gives an empty one; columns other than ``column`` aren't read. Repeated names add nothing."""
     scratch = Scratch(names.sparkSession, "names")
     trimmed = names.select(F.trim(F.regexp_replace(column, "^[\\s\\u00a0]+|[\\s\\u00a0]+$", "")).alias("name")).where("name <> ''")
-    distinct = trimmed.groupBy("name").agg(F.count("*").alias("n"))
+    distinct = trimmed.distinct()
     read = scratch.write(distinct.mapInArrow(_reader(lexicon), _SCHEMA).where("kind <> ''"))
     # Where a given name and the other surname agree, one spelling is as good as another; elsewhere it must be the rarer.
     known = (F.col("kind") == "per") & (F.col("given") != "")
