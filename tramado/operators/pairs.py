@@ -44,10 +44,11 @@ def scored_pairs(refs: DataFrame, freq: DataFrame, config: ThreadConfig = DEFAUL
 
 
 def accepted(tau: Column, tier: str = "L2", config: ThreadConfig = DEFAULT) -> Column:
-    """Whether a scored pair is an edge. Near pairs need w >= tau. Far pairs: L1 the same; L2 also a strong shared
-    referent; L3 an even stronger one."""
-    far = {"L1": F.lit(True), "L2": F.col("s_ref") >= config.strong_ref, "L3": F.col("s_ref") >= config.strictest_ref}[tier]
-    return (F.col("w") >= tau) & ((F.col("dias") <= config.near_days) | far)
+    """Whether a scored pair is an edge. Near pairs need w >= tau; far pairs a strong shared referent and, by tier: L1
+    nothing else, whatever w; L2 also w >= tau; L3 that and an even stronger referent."""
+    strong = F.col("s_ref") >= (config.strictest_ref if tier == "L3" else config.strong_ref)
+    heavy = (F.col("w") >= tau) & ((F.col("dias") <= config.near_days) | strong)
+    return heavy | ((F.col("dias") > config.near_days) & strong) if tier == "L1" else heavy
 
 
 def clean_edges(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .order import running_total
+from ..functions.scalars import hash_number
+from ..sources.tables import Scratch
+from .order import places, reshuffled, running_total
 
 
 def ticket(seed: int | str, *ids: Column | str) -> Column:
@@ -53,10 +55,14 @@ def drop_share(df: DataFrame, percent: int, replicates: int, seed: int, *ids: st
 
 
 def donors(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Permutations of ``key``: ``(rep, key, donante)``, each row's donor being the row of the same rank by another hash."""
-    reps = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = lambda salt: F.row_number().over(W.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), "rep", key))))
-    return reps.select("rep", key, w("a").alias("k")).join(reps.select("rep", F.col(key).alias("donante"), w("b").alias("k")), ["rep", "k"]).select("rep", key, "donante")
+    """Permutations of ``key``: ``(rep, key, donante)``. Rows are put into two random orders once; a row's donor in a
+    replicate is the one at its reshuffled place in the other order."""
+    scratch = Scratch(df.sparkSession, "orders")
+    mine = scratch.write(places(df.select(key), [], [ticket(f"{seed}a", key), F.col(key)], "k", "n"))
+    other = scratch.write(places(df.select(F.col(key).alias("donante")), [], [ticket(f"{seed}b", "donante"), F.col("donante")], "k", "n").drop("n"))
+    reps = mine.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    reps = reps.withColumn("k", reshuffled(F.col("k"), F.col("n"), F.col("rep"), hash_number(F.lit(seed), F.col("rep")), replicates))
+    return reps.join(other, "k").select("rep", key, "donante")
 
 
 def bootstrap_difference(df: DataFrame, group: str, value: str, draws: int, seed: int) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
-from .order import ordinal, running_total
+from ..sources.tables import Scratch
+from .order import lowest_onwards, ordinal, places, reshuffled, running_total
 
 
 def gaps(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +34,12 @@ def bursts(days: DataFrame, keys: list[str], window: int = 30) -> DataFrame:
     return x.join(peak, [*keys, "anio"]).withColumn("r", run).groupBy(*keys, "anio").agg(F.max("r").alias("rafaga"))
 
 
+def year_gaps(days: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, pausa)``: the longest pause between consecutive documents of one year; 0 where no year has two."""
+    g = F.datediff("fecha", F.lag("fecha").over(W.partitionBy(*keys, F.year("fecha")).orderBy("fecha")))
+    return days.select(*keys, g.alias("g")).groupBy(*keys).agg(F.coalesce(F.max("g"), F.lit(0)).cast("long").alias("pausa"))
+
+
 def period_share(days: DataFrame, corpus: DataFrame, keys: list[str], period) -> DataFrame:
     """The highest share that a thread has of a period's documents, ``period`` being a function of the date."""
     all_ = corpus.groupBy(period(F.col("fecha")).alias("p")).agg(F.count("*").alias("total"))
@@ -40,67 +47,18 @@ def period_share(days: DataFrame, corpus: DataFrame, keys: list[str], period) ->
     return mine.join(all_, "p").groupBy(*keys).agg(F.max(F.col("n") / F.col("total")).alias("parte"))
 
 
-def permuted_dates(docs: DataFrame, stratum: list[str], replicates: int, seed: int) -> DataFrame:
-    """Null N1: ``(rep, doc_id, fecha)`` with dates permuted among documents of a stratum. Documents and dates are ranked
-    by hashes of their own in the same stratum and joined by rank."""
-    reps = docs.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = lambda salt: F.row_number().over(W.partitionBy("rep", *stratum).orderBy(F.md5(F.concat_ws("|", F.lit(f"{seed}{salt}"), "rep", "doc_id"))))
-    left = reps.select("rep", *stratum, "doc_id", w("a").alias("k"))
-    right = reps.select("rep", *stratum, "fecha", w("b").alias("k"))
-    return left.join(right, ["rep", *stratum, "k"]).select("rep", "doc_id", "fecha")
-
-
-def permuted_durations(docs: DataFrame, members: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """``(hilo, dur, sorteos, p_alto, p_bajo)``: durations of the threads of ``members`` (``hilo``, ``doc_id``) against the
-    dates of ``permuted_dates`` within year and source, from ``docs`` (``doc_id``, ``fecha``, ``anio``, ``fuente``).
-
-    A stratum is shuffled once for all replicates and leaves each thread's first and last date by replicate. Permuted
-    dates keep their year, so only a thread's documents of its first and of its last year decide."""
-    d = docs.select("doc_id", "anio", "fuente", F.unix_date("fecha").alias("dia"))
-    m = members.select("hilo", "doc_id")
-    real = m.join(d, "doc_id").groupBy("hilo").agg(F.min("anio").alias("y0"), F.max("anio").alias("y1"), (F.max("dia") - F.min("dia")).alias("dur"))
-    x = d.join(m.join(real, "hilo"), "doc_id", "left")
-
-    def order(salt, rep, ids):
-        head = f"{seed}{salt}|{rep}|".encode()
-        tickets = b"".join([hashlib.md5(head + i, usedforsecurity=False).digest() for i in ids])
-        return np.argsort(np.frombuffer(tickets, ">u8")[::2], kind="stable")
-
-    def draw(pdf):
-        at = np.flatnonzero(((pdf["anio"] == pdf["y0"]) | (pdf["anio"] == pdf["y1"])).to_numpy())
-        if not len(at):
-            return pd.DataFrame([], columns=["hilo", "dur", "lo", "hi"])
-        who = pdf["hilo"].to_numpy()[at]
-        by = np.argsort(who, kind="stable")
-        at, who = at[by], who[by]
-        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        ids, day = [str(i).encode() for i in pdf["doc_id"]], pdf["dia"].to_numpy(np.int32)
-        lo, hi, got = np.empty((len(start), replicates), np.int32), np.empty((len(start), replicates), np.int32), np.empty(len(ids), np.int32)
-        for rep in range(1, replicates + 1):
-            got[order("a", rep, ids)] = day[order("b", rep, ids)]
-            lo[:, rep - 1], hi[:, rep - 1] = np.minimum.reduceat(got[at], start), np.maximum.reduceat(got[at], start)
-        one = pdf.iloc[at[start]]
-        first, last = (one["anio"] == one["y0"]).to_numpy(), (one["anio"] == one["y1"]).to_numpy()
-        return pd.DataFrame({
-            "hilo": who[start], "dur": one["dur"].to_numpy(np.int32),
-            "lo": [r.tobytes() if k else None for r, k in zip(lo, first)], "hi": [r.tobytes() if k else None for r, k in zip(hi, last)],
-        })
-
-    def count(pdf):
-        pdf = pdf.sort_values("hilo")
-        who = pdf["hilo"].to_numpy()
-        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
-        far = np.iinfo(np.int32)
-        read = lambda c, none: np.stack([np.frombuffer(r, np.int32) if r is not None else np.full(replicates, none, np.int32) for r in pdf[c]])
-        null = np.maximum.reduceat(read("hi", far.min), start) - np.minimum.reduceat(read("lo", far.max), start)
-        dur = pdf["dur"].to_numpy()[start]
-        high, low = (null >= dur[:, None]).sum(1), (null <= dur[:, None]).sum(1)
-        return pd.DataFrame({"hilo": who[start], "dur": dur, "sorteos": replicates, "p_alto": (1 + high) / (replicates + 1), "p_bajo": (1 + low) / (replicates + 1)})
-
-    drawn = x.groupBy("anio", "fuente").applyInPandas(draw, "hilo string, dur int, lo binary, hi binary")
-    bundles = members.count() // 5000 + docs.sparkSession.sparkContext.defaultParallelism
-    bundled = drawn.withColumn("_bundle", F.pmod(F.xxhash64("hilo"), F.lit(bundles))).groupBy("_bundle")
-    return bundled.applyInPandas(count, "hilo string, dur int, sorteos long, p_alto double, p_bajo double")
+def permuted_dates(docs: DataFrame, members: DataFrame, stratum: list[str], replicates: int, seed: int) -> DataFrame:
+    """Null N1: ``(rep, doc_id, fecha)`` for the documents of ``members``, with dates permuted among all documents of a
+    stratum. Documents and dates of a stratum are put into two random orders once, by ranges, so that a large stratum is
+    split; a replicate only moves places. Only documents of ``members`` are copied by replicate."""
+    scratch = Scratch(docs.sparkSession, "orders")
+    mine = places(docs.select(*stratum, "doc_id"), stratum, [F.md5(F.concat_ws("|", F.lit(f"{seed}a"), "doc_id")), F.col("doc_id")], "k", "n")
+    mine = scratch.write(mine.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    dates = places(docs.select(*stratum, "doc_id", "fecha"), stratum, [F.md5(F.concat_ws("|", F.lit(f"{seed}b"), "doc_id")), F.col("doc_id")], "k", "n")
+    dates = scratch.write(dates.select(*stratum, "k", "fecha"))
+    reps = mine.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    reps = reps.withColumn("k", reshuffled(F.col("k"), F.col("n"), F.col("rep"), S.hash_number(F.lit(seed), F.col("rep"), *stratum), replicates))
+    return reps.join(dates, [*stratum, "k"]).select("rep", "doc_id", "fecha")
 
 
 def pseudo_threads(docs: DataFrame, sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -124,16 +82,17 @@ def empirical_p(real: DataFrame, null: DataFrame, keys: list[str], stat: str) ->
     return j.groupBy(*keys).agg(F.max("x").alias(stat), F.count("*").alias("sorteos"), ((1 + high) / (F.count("*") + 1)).alias("p_alto"), ((1 + low) / (F.count("*") + 1)).alias("p_bajo"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] | None = None, tie: str | None = None, monotone: bool = True) -> DataFrame:
-    """Column ``q``: p times tests over rank; monotone, or only capped at one. Families (``keys``) are corrected apart.
-    A family's ranks need its values in order; families are small beside the data they sum up."""
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    order = [F.col(p)] + ([F.col(tie)] if tie else [])
-    x = df.withColumn("_q", F.col(p) * F.count("*").over(part) / F.row_number().over(part.orderBy(*order)))
+def benjamini_hochberg(df: DataFrame, p: str, keys: list[str] | None = None, tie: str | None = None, monotone: bool = True, name: str = "q") -> DataFrame:
+    """Column ``name``: p times tests over rank; monotone, or only capped at one. Families (``keys``) are corrected apart.
+    Ranks and lowest values come from ranges of the order, so a family may be of any size; ``tie`` orders equal p and must
+    be unique in a family."""
+    keys = keys or []
+    order = [F.col(p)] + ([F.col(tie)] if tie else [F.xxhash64(*df.columns)])
+    x = places(df, keys, order, "_k", "_m").withColumn("_q", F.col(p) * F.col("_m") / (F.col("_k") + 1))
     if not monotone:
-        return x.withColumn("q", F.least(F.lit(1.0), "_q")).drop("_q")
-    back = part.orderBy(*[F.desc(p)] + ([F.desc(tie)] if tie else [])).rowsBetween(W.unboundedPreceding, 0)
-    return x.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(back))).drop("_q")
+        return x.select(*df.columns, F.least(F.lit(1.0), "_q").alias(name))
+    x = lowest_onwards(x, keys, [*[F.col(k) for k in keys], *order], F.col("_q"), name)
+    return x.select(*df.columns, F.least(F.lit(1.0), name).alias(name))
 
 
 def coherence(vectors: DataFrame, key: str) -> DataFrame:
@@ -149,39 +108,62 @@ def source_mix(docs: DataFrame, key: str, source: str) -> DataFrame:
     return n.groupBy(key).agg(F.count("*").alias("fuentes"), (F.max("n") / F.sum("n")).alias("mayor_fuente"))
 
 
-def grown_threads(threads: DataFrame, corpus_days: list[int], replicates: int, seed: int, near: int = 365) -> DataFrame:
-    """Null of growth: for each thread ``(hilo, n, largo)`` pseudo-threads that start at a random document and grow by
-    random documents within ``near`` days of their last member, or beyond with the thread's own share of long pauses.
+def grown_threads(threads: DataFrame, corpus: list[tuple[int, int]], replicates: int, seed: int, near: int = 365, far: int = 1095) -> DataFrame:
+    """Null of growth, ``(hilo, rep, max_gap, dur)``: for each thread ``(hilo, n, largo, primero)`` pseudo-threads of ``n``
+    different documents. They start at a random document of the semester of the thread's first day ``primero`` (of its
+    year, if the semester has fewer than five documents) and grow by a random document within ``near`` days of a random
+    member, or within ``far`` days with probability ``largo``, both ways. A draw is given up after 20 starts; a start,
+    when 30 tries in a row hit members. Draws given up are left out.
 
-    Growth is sequential within a draw, so a draw is a kernel; draws are independent and seeded by thread and
-    replicate. ``corpus_days`` is the sorted list of document days, a few bytes per day of the corpus' span times the
-    documents of a day; callers pass distinct days with counts beyond that.
-    """
-    days = np.array(corpus_days)
+    ``corpus`` is the calendar: (day, how many documents) in order, so a few bytes for each day that has documents,
+    whatever their number; a document is a place in the running count of documents. Draws are independent, seeded by
+    thread and replicate."""
+    days = np.array([d for d, _ in corpus], np.int64)
+    upto = np.concatenate(([0], np.cumsum([c for _, c in corpus]))).astype(np.int64)
+    moments = days.astype("datetime64[D]")
+    months = moments.astype("datetime64[M]").astype(np.int64)
+    shared = threads.sparkSession.sparkContext.broadcast((days, upto, months // 6, months // 12))
 
     def run(batches):
+        days, upto, semester, year = shared.value
+        between = lambda lo, hi: (int(upto[np.searchsorted(days, lo)]), int(upto[np.searchsorted(days, hi, "right")]))
+
+        def grow(rng, n, largo, lo, hi):
+            for _ in range(20):
+                got = [int(rng.integers(lo, hi))]
+                seen, at = set(got), [int(days[np.searchsorted(upto, got[0], "right") - 1])]
+                while len(got) < n:
+                    for _ in range(30):
+                        reach = far if rng.random() < largo else near
+                        middle = at[int(rng.integers(len(at)))]
+                        new = int(rng.integers(*between(middle - reach, middle + reach)))
+                        if new not in seen:
+                            break
+                    else:
+                        break
+                    seen.add(new)
+                    got.append(new)
+                    at.append(int(days[np.searchsorted(upto, new, "right") - 1]))
+                if len(got) == n:
+                    return np.sort(at)
+            return None
+
         for pdf in batches:
             out = []
-            for hilo, n, largo, rep in zip(pdf["hilo"], pdf["n"], pdf["largo"], pdf["rep"]):
+            for hilo, n, largo, first, rep in zip(pdf["hilo"], pdf["n"], pdf["largo"], pdf["primero"], pdf["rep"]):
                 rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}|{hilo}|{rep}".encode()).digest()[:8], "little"))
-                got = [int(rng.integers(len(days)))]
-                while len(got) < n:
-                    last = days[max(got)]
-                    reach = near if rng.random() >= largo else 3 * near
-                    a, b = np.searchsorted(days, last - near), np.searchsorted(days, last + reach, "right")
-                    new = int(rng.integers(a, max(b, a + 1)))
-                    if new in got:
-                        new = int(rng.integers(len(days)))
-                    if new not in got:
-                        got.append(new)
-                    elif len(got) >= len(days):
+                i = np.searchsorted(days, first)
+                for period in (semester, year):
+                    lo, hi = int(upto[np.searchsorted(period, period[i])]), int(upto[np.searchsorted(period, period[i], "right")])
+                    if hi - lo >= 5:
                         break
-                d = np.sort(days[got])
-                out.append((hilo, rep, int(np.diff(d).max()) if len(d) > 1 else 0, int(d[-1] - d[0])))
+                d = grow(rng, n, largo, lo, hi)
+                if d is not None:
+                    out.append((hilo, rep, int(np.diff(d).max()) if len(d) > 1 else 0, int(d[-1] - d[0])))
             yield pd.DataFrame(out, columns=["hilo", "rep", "max_gap", "dur"])
 
-    draws = threads.select("hilo", "n", "largo", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    return draws.mapInPandas(run, "hilo string, rep int, max_gap long, dur long")
+    draws = threads.select("hilo", "n", "largo", "primero", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    return draws.repartition("hilo", "rep").mapInPandas(run, "hilo string, rep int, max_gap long, dur long")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import scalars as S
 from ..operators import graph as G
+from ..operators import order as O
 from ..operators import pairs as P
 from ..operators import partitions as R
 from ..operators import sampling as M
@@ -308,13 +309,13 @@ ORACLE = {
     "graph_edges": Q.query(*_G, "g AS (SELECT v, count(*) AS g FROM s GROUP BY 1), c AS (SELECT a, b, count(q.x) AS comunes FROM e45 JOIN s p ON p.v = a LEFT JOIN s q ON q.v = b AND q.x = p.x GROUP BY ALL)", "SELECT a, b, x.g AS ga, y.g AS gb, comunes, round(comunes / greatest(1, x.g - 1 + y.g - 1 - comunes), 6) AS incrustacion FROM c JOIN g x ON x.v = a JOIN g y ON y.v = b"),
     "graph_density": Q.query(*_C, "n AS (SELECT comp, count(*) AS nodos FROM comps GROUP BY 1), m AS (SELECT comp, count(*) AS aristas FROM e45 JOIN comps ON doc_id = a GROUP BY 1)", "SELECT comp, nodos, aristas, round(2 * aristas / (nodos * (nodos - 1)), 6) AS densidad FROM n JOIN m USING (comp)"),
     "graph_paths": Q.query(*_C, _BFS, "SELECT comp, max(k) AS diametro, count(*) AS pares, round(sum(k) / count(*), 6) AS medio FROM dd JOIN comps ON doc_id = src WHERE src < v GROUP BY 1"),
-    "graph_heterogeneous": Q.query(Q.DOCS, Q.REFS, *_G, "o AS (SELECT doc_id, max(referente) FILTER (tipo = 'objeto') AS o, max(referente) FILTER (tipo = 'territorio') AS t FROM refs GROUP BY 1), n AS (SELECT * FROM o WHERE o IS NOT NULL AND t IS NOT NULL AND doc_id IN (SELECT v FROM s)), reps AS (SELECT rep, doc_id FROM n, (SELECT unnest([1, 2, 3]) AS rep)), ra AS (SELECT rep, doc_id, row_number() OVER (PARTITION BY rep ORDER BY md5('17a|' || rep || '|' || doc_id)) AS k FROM reps), rb AS (SELECT rep, doc_id AS donante, row_number() OVER (PARTITION BY rep ORDER BY md5('17b|' || rep || '|' || doc_id)) AS k FROM reps), mp AS (SELECT rep, ra.doc_id, donante FROM ra JOIN rb USING (rep, k) UNION ALL SELECT 0, doc_id, doc_id FROM n), lk AS (SELECT rep, mp.doc_id, o, t FROM mp JOIN n ON n.doc_id = donante)", "SELECT p.rep, count(*) AS caminos, count(*) FILTER (p.o <> q.o AND p.t <> q.t) AS heterogeneos FROM s x JOIN s y ON y.v = x.v AND x.x < y.x JOIN lk p ON p.doc_id = x.x JOIN lk q ON q.doc_id = y.x AND q.rep = p.rep GROUP BY 1"),
+    "graph_heterogeneous": Q.query(Q.DOCS, Q.REFS, *_G, "o AS (SELECT doc_id, max(referente) FILTER (tipo = 'objeto') AS o, max(referente) FILTER (tipo = 'territorio') AS t FROM refs GROUP BY 1), n AS (SELECT * FROM o WHERE o IS NOT NULL AND t IS NOT NULL AND doc_id IN (SELECT v FROM s)), primes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {p}::BIGINT)" for i, p in enumerate(O.primes(300), 1)) + ") v(rep, prime)), pa AS (SELECT doc_id, row_number() OVER (ORDER BY md5('17a|' || doc_id), doc_id) - 1 AS k, count(*) OVER () AS n FROM n), ra AS (SELECT rep, doc_id, (k * prime + ('0x' || substr(md5('17|' || rep), 1, 8))::BIGINT) % n AS k FROM pa, primes), rb AS (SELECT doc_id AS donante, row_number() OVER (ORDER BY md5('17b|' || doc_id), doc_id) - 1 AS k FROM n), mp AS (SELECT rep, ra.doc_id, donante FROM ra JOIN rb USING (k) UNION ALL SELECT 0, doc_id, doc_id FROM n), lk AS (SELECT rep, mp.doc_id, o, t FROM mp JOIN n ON n.doc_id = donante)", "w AS (SELECT rep, s.v, o, t, count(*)::BIGINT AS n FROM s JOIN lk ON lk.doc_id = s.x GROUP BY ALL), one AS (SELECT rep, v, sum(n)::BIGINT AS n, sum(n * (n - 1) / 2)::BIGINT AS bo_t FROM w GROUP BY ALL), oo AS (SELECT rep, v, o, sum(n)::BIGINT AS n FROM w GROUP BY ALL), tt AS (SELECT rep, v, t, sum(n)::BIGINT AS n FROM w GROUP BY ALL), so AS (SELECT rep, sum(n * (n - 1) / 2)::BIGINT AS k FROM oo GROUP BY 1), st AS (SELECT rep, sum(n * (n - 1) / 2)::BIGINT AS k FROM tt GROUP BY 1), al AS (SELECT rep, sum(n * (n - 1) / 2)::BIGINT AS k, sum(bo_t)::BIGINT AS b FROM one GROUP BY 1)", "SELECT rep, al.k AS caminos, al.k - so.k - st.k + al.b AS heterogeneos FROM al JOIN so USING (rep) JOIN st USING (rep)"),
     "community_given": "WITH one AS (SELECT doc_id, min(comunidad_louvain) AS x, min(comunidad_infomap) AS y FROM h0000_02_node_metrics GROUP BY 1), c AS (SELECT x, y, count(*) AS m FROM one WHERE doc_id IS NOT NULL GROUP BY ALL), p AS (SELECT (SELECT sum(m)::BIGINT FROM c) AS n, (SELECT count(DISTINCT coalesce(x::VARCHAR, '?')) FROM c) AS ka, (SELECT count(DISTINCT coalesce(y::VARCHAR, '?')) FROM c) AS kb, (SELECT sum(m * (m - 1) / 2) FROM c) AS pab, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(m) AS m FROM c GROUP BY x)) AS pa, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(m) AS m FROM c GROUP BY y)) AS pb, (SELECT -sum(m / t * ln(m / t)) FROM (SELECT m, sum(m) OVER () AS t FROM c)) AS hab, (SELECT -sum(m / t * ln(m / t)) FROM (SELECT sum(m) AS m, sum(sum(m)) OVER () AS t FROM c GROUP BY x)) AS ha, (SELECT -sum(m / t * ln(m / t)) FROM (SELECT sum(m) AS m, sum(sum(m)) OVER () AS t FROM c GROUP BY y)) AS hb) SELECT n AS docs, ka AS grupos_a, kb AS grupos_b, round((pab - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2)), 6) AS ari, round((ha + hb - hab) / ((ha + hb) / 2), 6) AS nmi, round(2 * hab - ha - hb, 6) AS vi FROM p",
     "graph_long_edges": Q.query(Q.EDGES, _U_TEST, "SELECT n, n1, u, round(greatest(abs(u - n1 * (n - n1) / 2) - 0.5::DOUBLE, 0) / sqrt(n1 * (n - n1) / 12 * ((n + 1) - ties / (n * (n - 1)))), 6) AS z FROM m"),
     "emb_neighbours": f"WITH {_UNIT}, c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0) SELECT vec_id, vecino, round(coseno, 6) AS coseno FROM k WHERE r <= 5",
-    "emb_graph": Q.query(_UNIT, "c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.3)", Q.components("e"), "SELECT comp, count(*) AS docs FROM comps GROUP BY 1"),
+    "emb_graph": Q.query(_UNIT, "c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.3)", Q.components("e"), "SELECT comp, count(*) AS docs FROM comps GROUP BY 1"),
     "sample_missed_pairs": Q.query(Q.DOCS, *_C, _REC.split(", size AS")[0], "o AS (SELECT gold.*, row_number() OVER (PARTITION BY caso ORDER BY md5('6|' || doc_id), doc_id) - 1 AS r FROM gold), p AS (SELECT caso, r // 2 AS k, min(o.doc_id) AS a, max(o.doc_id) AS b, count(*) AS n, count(DISTINCT comp) AS g, count(comp) AS i FROM o LEFT JOIN comps ON comps.doc_id = o.doc_id WHERE r < 4 GROUP BY ALL)", "SELECT caso, a, b FROM p WHERE n = 2 AND NOT (i = 2 AND g = 1) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.a = p.a AND e.b = p.b)"),
-    "sample_unlike_neighbours": f"WITH {_UNIT}, c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.2) SELECT a, b FROM e JOIN embeddings x ON x.vec_id::VARCHAR = a JOIN embeddings y ON y.vec_id::VARCHAR = b WHERE x.label <> y.label ORDER BY md5('5|' || a || '|' || b), a, b LIMIT 25",
+    "sample_unlike_neighbours": f"WITH {_UNIT}, c AS (SELECT q.vec_id, r.vec_id AS vecino, list_sum(list_transform(list_zip(q.v, r.v), lambda z: z[1] * z[2])) AS coseno FROM u q JOIN u r ON r.vec_id BETWEEN q.vec_id - 365 AND q.vec_id + 365 AND r.vec_id <> q.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY coseno DESC, vecino) AS r FROM c WHERE coseno > 0), e AS (SELECT DISTINCT least(vec_id::VARCHAR, vecino::VARCHAR) AS a, greatest(vec_id::VARCHAR, vecino::VARCHAR) AS b FROM k WHERE r <= 15 AND coseno >= 0.2) SELECT a, b FROM e JOIN embeddings x ON x.vec_id::VARCHAR = a JOIN embeddings y ON y.vec_id::VARCHAR = b WHERE x.label <> y.label ORDER BY md5('5|' || a || '|' || b), a, b LIMIT 25",
     "emb_coherence": f"WITH {_UNIT}, e AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u), s AS (SELECT label, i, sum(x) AS s, count(*) AS m FROM e GROUP BY ALL) SELECT label, max(m) AS docs, round((sum(s * s) - max(m)) / (max(m) * (max(m) - 1)), 6) AS coherencia FROM s GROUP BY 1",
     "gold_recovery": Q.query(Q.DOCS, *_C, _REC, "SELECT caso, docs, round(cobertura, 6) AS cobertura, round(recuperado, 6) AS recuperado, round(pureza, 6) AS pureza, fragmentos FROM rec"),
     "gold_average": Q.query(Q.DOCS, *_C, _REC, "SELECT count(*) AS casos, round(avg(round(cobertura, 3)), 6) AS cobertura, round(avg(round(recuperado, 3)), 6) AS recuperado, round(avg(round(pureza, 3)), 6) AS pureza FROM rec"),
