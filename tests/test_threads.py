@@ -84,6 +84,9 @@ def test_bridges_and_cores_by_brute_force(spark):
             left = {x for x in left if v not in x}
         cores |= core
     assert sorted((r.a, r.b) for r in G.bridges(e, G.components(e.select("a", "b"))).collect()) == sorted(bridges)
+    c = G.components(e.select("a", "b"))
+    one = {(r.comp, r.a, r.b, r.lado_menor) for r in G.bridges(e, c).collect()}
+    assert one == {(r.comp, r.a, r.b, r.lado_menor) for r in G.bridges(e, c, large=0).collect()}
     assert {r.doc_id: r.kcore for r in G.cores(e).collect()} == cores
 
 
@@ -147,13 +150,34 @@ def test_gaps_and_bursts(spark):
 def test_permutation_keeps_strata(spark):
     d = dt.date(2020, 1, 1)
     df = spark.createDataFrame([(str(i), d + dt.timedelta(days=i), str(i % 2)) for i in range(20)], "doc_id string, fecha date, s string")
-    got = X.permuted_dates(df, ["s"], 3, 1).collect()
+    got = X.permuted_dates(df, df, ["s"], 3, 1).collect()
     assert len(got) == 60
     for rep in (1, 2, 3):
         for s in (0, 1):
             assert sorted(r.fecha for r in got if r.rep == rep and int(r.doc_id) % 2 == s) == [d + dt.timedelta(days=i) for i in range(s, 20, 2)]
 
 
+def test_false_discovery_by_family(spark):
+    """Against the definition, family by family, with equal p values."""
+    rng = random.Random(2)
+    data = [(k, f"{i:02d}", round(rng.random(), 1)) for k in ("a", "b") for i in range(25)]
+    df = spark.createDataFrame(data, "k string, id string, p double")
+    got = {(r.k, r.id): r.q for r in X.benjamini_hochberg(df, "p", ["k"], "id").collect()}
+    capped = {(r.k, r.id): r.q for r in X.benjamini_hochberg(df, "p", ["k"], "id", monotone=False).collect()}
+    for k in ("a", "b"):
+        mine = sorted((p, i) for f, i, p in data if f == k)
+        raw = [p * len(mine) / r for r, (p, _) in enumerate(mine, 1)]
+        for r, (_, i) in enumerate(mine):
+            assert got[k, i] == pytest.approx(min(1.0, *raw[r:])) and capped[k, i] == pytest.approx(min(1.0, raw[r]))
+
+
+def test_grown_threads_stay_in_reach(spark):
+    t = spark.createDataFrame([("h", 4, 0.0, 100), ("g", 3, 0.0, 5000)], "hilo string, n long, largo double, primero int")
+    got = X.grown_threads(t, [(100, 3), (150, 4), (400, 2), (5000, 1), (9000, 9)], 20, 1).collect()
+    assert {r.hilo for r in got} == {"h"} and len(got) == 20  # nothing else is within a year of day 5000
+    assert all(r.dur <= 300 and r.max_gap <= 300 for r in got)
+
+
 def test_pseudo_threads_have_their_size(spark):
     df = spark.createDataFrame([(f"{i:02d}", dt.date(2020, 1, 1)) for i in range(40)], "doc_id string, fecha date")
     got = X.pseudo_threads(df, spark.createDataFrame([(3,), (8,)], "n long"), 5, 1).groupBy("n", "rep").agg(F.count_distinct("doc_id").alias("k")).collect()

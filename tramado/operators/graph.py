@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 
 from ..sources.tables import Scratch
 
-BUNDLE = 20_000
+#: From so many edges a component's bridges are found by joins; steps of a task that searches from every vertex.
+LARGE = 200_000
+WORK = 20_000_000
 
 
 def components(edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -115,8 +117,8 @@ def cores(edges: DataFrame) -> DataFrame:
             return now.select("doc_id", F.col("h").alias("kcore"))
 
 
-# Traversals run per component, as one kernel each. A component goes to one task, so its size is bounded: the caller says
-# up to how many edges, and larger components are left to the operators above.
+# Traversals run per component, as one kernel each; no component is left out. Searches from every vertex are cut into
+# slices of sources, bridges of large components are found by joins; for the rest a component's edges must fit a task.
 def _adjacency(a_: list[str], b_: list[str]) -> dict[str, list[str]]:
     near: dict[str, list[str]] = {}
     for a, b in zip(a_, b_):
@@ -178,33 +180,35 @@ def lowlinks(near: dict[str, list[str]]) -> tuple[set[tuple[str, str]], set[str]
     return bridges, cuts, blocks, below
 
 
-def _per_component(edges: DataFrame, comps: DataFrame, most: int, kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(comp, a, b, w)`` for each component of at most ``most`` edges; it returns rows. Components are bundled by
-    hash into groups of about ``BUNDLE`` edges, since most are small and a group costs a few milliseconds."""
-    e = edges.join(comps.withColumnRenamed("doc_id", "a"), "a").select("comp", "a", "b", "w")
-    size = e.groupBy("comp").agg(F.count("*").alias("n"))
-    small = size.where(F.col("n") <= most).select("comp")
-    bundles = edges.count() // BUNDLE + edges.sparkSession.sparkContext.defaultParallelism
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["comp", "a", "b"])
-        comp, a, b, w = (pdf[c].tolist() for c in ("comp", "a", "b", "w"))
-        out, start = [], 0
-        for i in range(1, len(comp) + 1):
-            if i == len(comp) or comp[i] != comp[start]:
-                out += kernel(comp[start], a[start:i], b[start:i], w[start:i])
-                start = i
-        return pd.DataFrame(out, columns=names)
+def _packed(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """A row per component: ``(comp, m, e)`` with its number of edges and the edges (a, b, w)."""
+    e = edges.join(comps.withColumnRenamed("doc_id", "a"), "a")
+    return e.groupBy("comp").agg(F.count("*").alias("m"), F.collect_list(F.struct("a", "b", F.col("w").cast("double").alias("w"))).alias("e"))
 
+
+def _spread(packed: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(comp, a, b, w, part, parts)`` for each row of ``packed`` (columns part and parts optional); it returns rows.
+    Rows are spread over all tasks, heavy and light ones mixed."""
     names = [x.split()[0] for x in schema.split(", ")]
-    bundle = F.pmod(F.xxhash64("comp"), F.lit(bundles)).alias("_bundle")
-    return e.join(small, "comp").select("comp", "a", "b", "w", bundle).groupBy("_bundle").applyInPandas(run, schema)
+    if "part" not in packed.columns:
+        packed = packed.withColumns({"part": F.lit(0), "parts": F.lit(1)})
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for comp, rows, part, parts in zip(pdf["comp"], pdf["e"], pdf["part"], pdf["parts"]):
+                a, b, w = zip(*sorted((r["a"], r["b"], r["w"]) for r in rows))
+                out += kernel(comp, a, b, w, part, parts)
+            yield pd.DataFrame(out, columns=names)
+
+    n = packed.sparkSession.sparkContext.defaultParallelism * 4
+    return packed.select("comp", "e", "part", "parts").repartition(n, F.xxhash64("comp", "part")).mapInPandas(run, schema)
 
 
-def vertex_structure(edges: DataFrame, comps: DataFrame, most: int = 200_000) -> DataFrame:
-    """``(comp, doc_id, articulacion, bicomponentes)`` for components of at most ``most`` edges."""
+def vertex_structure(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(comp, doc_id, articulacion, bicomponentes)``. One depth-first pass over a component, in one task."""
 
-    def kernel(comp, a, b, w):
+    def kernel(comp, a, b, w, part, parts):
         near = _adjacency(a, b)
         _, cuts, blocks, _ = lowlinks(near)
         member = dict.fromkeys(near, 0)
@@ -213,18 +217,71 @@ def vertex_structure(edges: DataFrame, comps: DataFrame, most: int = 200_000) ->
                 member[v] += 1
         return [(comp, v, v in cuts, n) for v, n in member.items()]
 
-    return _per_component(edges, comps, most, kernel, "comp string, doc_id string, articulacion boolean, bicomponentes int")
+    return _spread(_packed(edges, comps), kernel, "comp string, doc_id string, articulacion boolean, bicomponentes int")
 
 
-def bridges(edges: DataFrame, comps: DataFrame, most: int = 200_000) -> DataFrame:
-    """``(comp, a, b, w, lado_menor)``: edges whose loss splits a component, and the size of the smaller part."""
+def bridges(edges: DataFrame, comps: DataFrame, large: int = LARGE) -> DataFrame:
+    """``(comp, a, b, w, lado_menor)``: edges whose loss splits a component, and the size of the smaller part. Components
+    of more than ``large`` edges are done by joins, the others by a kernel each; both find the same."""
 
-    def kernel(comp, a, b, w):
+    def kernel(comp, a, b, w, part, parts):
         near = _adjacency(a, b)
         found, _, _, below = lowlinks(near)
         return [(comp, *e, x, min(below[e], len(near) - below[e])) for e, x in zip(zip(a, b), w) if e in found]
 
-    return _per_component(edges, comps, most, kernel, "comp string, a string, b string, w double, lado_menor long")
+    scratch = Scratch(edges.sparkSession, "bridges")
+    size = edges.join(comps.withColumnRenamed("doc_id", "a"), "a").groupBy("comp").agg(F.count("*").alias("m"))
+    size = scratch.write(size.where(F.col("m") > large).select("comp"))
+    schema = "comp string, a string, b string, w double, lado_menor long"
+    if size.isEmpty():
+        return _spread(_packed(edges, comps), kernel, schema)
+    big = scratch.write(comps.join(size, "comp", "left_semi"))
+    small = _spread(_packed(edges, comps.join(size, "comp", "left_anti")), kernel, schema)
+    return small.union(_wide_bridges(edges.join(big.select(F.col("doc_id").alias("a")), "a", "left_semi"), big, scratch))
+
+
+def _wide_bridges(edges: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Bridges by a breadth-first forest. Every edge outside the forest gets a random label; the labels met below a vertex
+    cancel out (xor) if both their ends are there, so the edge above a vertex is a bridge if nothing remains: wrong with
+    a chance of 2^-64. Rounds grow with the distance from a component's smallest document, not with its size."""
+    links = scratch.write(both_ways(edges).select("doc_id", "other"))
+    seen = scratch.write(comps.where("doc_id = comp").select("doc_id", F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth")))
+    rings, ring, depth = [seen], seen, 0
+    while not ring.isEmpty():
+        depth += 1
+        found = links.join(ring.select("doc_id"), "doc_id").groupBy("other").agg(F.min("doc_id").alias("up"))
+        new = found.select(F.col("other").alias("doc_id"), "up", F.lit(depth).alias("depth"))
+        for old in rings[-2:]:  # a neighbour of a ring lies in it, in the one before, or in the next
+            new = new.join(old.select("doc_id"), "doc_id", "left_anti")
+        ring = scratch.write(new)
+        rings.append(ring)
+    forest = rings[0]
+    for r in rings[1:]:
+        forest = forest.union(r)
+    forest = scratch.write(forest)
+    tree = forest.where("up is not null").select(F.least("doc_id", "up").alias("a"), F.greatest("doc_id", "up").alias("b"))
+    rest = edges.join(tree, ["a", "b"], "left_anti").select("a", "b", F.xxhash64("a", "b").alias("x"))
+    own = rest.select(F.explode(F.array("a", "b")).alias("doc_id"), "x").groupBy("doc_id").agg(F.bit_xor("x").alias("x"))
+    state = scratch.write(forest.join(own, "doc_id", "left").select("doc_id", "up", "depth", F.coalesce("x", F.lit(0).cast("long")).alias("x"), F.lit(1).cast("long").alias("n")))
+    done = None
+    below = None
+    for d in range(depth - 1, 0, -1):
+        level = state.where(F.col("depth") == d)
+        if below is not None:
+            level = level.join(below, "doc_id", "left").select("doc_id", "up", "depth", F.col("x").bitwiseXOR(F.coalesce("bx", F.lit(0).cast("long"))).alias("x"), (F.col("n") + F.coalesce("bn", F.lit(0))).alias("n"))
+        level = scratch.write(level)
+        done = level if done is None else done.union(level)
+        below = level.groupBy(F.col("up").alias("doc_id")).agg(F.bit_xor("x").alias("bx"), F.sum("n").alias("bn"))
+    total = comps.groupBy("comp").agg(F.count("*").alias("total"))
+    cut = done.where("x = 0").select("doc_id", F.least("doc_id", "up").alias("a"), F.greatest("doc_id", "up").alias("b"), "n")
+    cut = cut.join(comps, "doc_id").join(total, "comp").join(edges.select("a", "b", F.col("w").cast("double").alias("w")), ["a", "b"])
+    return cut.select("comp", "a", "b", "w", F.least(F.col("n"), F.col("total") - F.col("n")).alias("lado_menor"))
+
+
+def _sliced(packed: DataFrame) -> DataFrame:
+    """Rows of ``packed`` in as many parts as leave each about ``WORK`` steps of a search from every vertex."""
+    n = F.ceil(F.col("m") * F.col("m") / F.lit(WORK)).cast("int")
+    return packed.withColumn("parts", F.greatest(F.lit(1), n)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
 
 def _distances(near: dict[str, list[str]], source: str) -> dict[str, int]:
@@ -234,28 +291,30 @@ def _distances(near: dict[str, list[str]], source: str) -> dict[str, int]:
     return seen
 
 
-def path_lengths(edges: DataFrame, comps: DataFrame, most: int = 20_000) -> DataFrame:
-    """``(comp, largo, pares)``: pairs by length of the shortest path, for components of at most ``most`` edges."""
+def path_lengths(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(comp, largo, pares)``: pairs by length of the shortest path."""
 
-    def kernel(comp, a, b, w):
+    def kernel(comp, a, b, w, part, parts):
         near = _adjacency(a, b)
         count: dict[int, int] = {}
-        for v in near:
+        for v in list(near)[part::parts]:
             for x, d in _distances(near, v).items():
                 if v < x:
                     count[d] = count.get(d, 0) + 1
         return [(comp, d, n) for d, n in count.items()]
 
-    return _per_component(edges, comps, most, kernel, "comp string, largo int, pares long")
+    x = _spread(_sliced(_packed(edges, comps)), kernel, "comp string, largo int, pares long")
+    return x.groupBy("comp", "largo").agg(F.sum("pares").alias("pares"))
 
 
-def edge_betweenness(edges: DataFrame, comps: DataFrame, most: int = 20_000) -> DataFrame:
-    """``(comp, a, b, intermediacion)``: share of shortest paths of a component's pairs that use the edge."""
+def edge_betweenness(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(comp, a, b, intermediacion)``: share of shortest paths of a component's pairs that use the edge. Searches from
+    different sources add up, so a component's sources are searched in parallel."""
 
-    def kernel(comp, a, b, w):
+    def kernel(comp, a, b, w, part, parts):
         near = _adjacency(a, b)
         score = dict.fromkeys(zip(a, b), 0.0)
-        for s in near:
+        for s in list(near)[part::parts]:
             paths, dist, order, ring = {s: 1.0}, {s: 0}, [s], [s]
             while ring:
                 nxt: list[str] = []
@@ -279,12 +338,14 @@ def edge_betweenness(edges: DataFrame, comps: DataFrame, most: int = 20_000) ->
         n = len(near)
         return [(comp, *e, x / (n * (n - 1))) for e, x in score.items()]
 
-    return _per_component(edges, comps, most, kernel, "comp string, a string, b string, intermediacion double")
+    x = _spread(_sliced(_packed(edges, comps)), kernel, "comp string, a string, b string, intermediacion double")
+    return x.groupBy("comp", "a", "b").agg(F.sum("intermediacion").alias("intermediacion"))
 
 
 # Community detection. All methods move single vertices to the neighbouring community that gains most, until none gains,
 # then merge communities into vertices and go on. They differ in what a move gains.
 def _levels(weights: dict[str, dict[str, float]], method: str, resolution: float, seed: int) -> dict[str, str]:
+    """Communities by moves, refinement (``leiden``, ``cpm``) and merging, until no vertex moves."""
     import random
 
     rng = random.Random(seed)
@@ -293,11 +354,14 @@ def _levels(weights: dict[str, dict[str, float]], method: str, resolution: float
     loops = dict.fromkeys(graph, 0.0)
     count = dict.fromkeys(graph, 1)
     total = sum(sum(n.values()) for n in graph.values()) / 2 or 1.0
+    part = {v: v for v in graph}
     while True:
-        part = {v: v for v in graph}
         strength = {v: sum(n.values()) + 2 * loops[v] for v, n in graph.items()}
         mass = {v: (strength[v] if method != "cpm" else count[v]) for v in graph}
-        held = dict(mass)
+        rate = resolution * (1 / (2 * total) if method != "cpm" else 1.0)
+        held: dict[str, float] = {}
+        for v, c in part.items():
+            held[c] = held.get(c, 0.0) + mass[v]
         moved_any, moving = False, True
         while moving:
             moving = False
@@ -307,116 +371,159 @@ def _levels(weights: dict[str, dict[str, float]], method: str, resolution: float
                 for x, w in graph[v].items():
                     links[part[x]] = links.get(part[x], 0.0) + w
                 held[here] -= mass[v]
-                cost = resolution * mass[v] * (1 / (2 * total) if method != "cpm" else 1.0)
-                best, gain = here, links.get(here, 0.0) - cost * held[here]
+                best, gain = here, links.get(here, 0.0) - rate * mass[v] * held[here]
                 for c in sorted(links):
-                    g = links[c] - cost * held[c]
+                    g = links[c] - rate * mass[v] * held[c]
                     if g > gain + 1e-12:
                         best, gain = c, g
                 held[best] += mass[v]
                 if best != here:
                     part[v], moving, moved_any = best, True, True
         if not moved_any:
-            return label
-        if method in ("cpm", "leiden"):
-            part = _connected(graph, part)
-        label = {v: part[c] for v, c in label.items()}
-        merged: dict[str, dict[str, float]] = {c: {} for c in set(part.values())}
+            return {v: part[c] for v, c in label.items()}
+        fine = _refined(graph, part, mass, rate, rng) if method in ("cpm", "leiden") else part
+        label = {v: fine[c] for v, c in label.items()}
+        merged: dict[str, dict[str, float]] = {c: {} for c in set(fine.values())}
         loop = dict.fromkeys(merged, 0.0)
         number = dict.fromkeys(merged, 0)
         for v, n in graph.items():
-            c = part[v]
+            c = fine[v]
             loop[c] += loops[v]
             number[c] += count[v]
             for x, w in n.items():
-                if part[x] == c:
+                if fine[x] == c:
                     loop[c] += w / 2
                 else:
-                    merged[c][part[x]] = merged[c].get(part[x], 0.0) + w
+                    merged[c][fine[x]] = merged[c].get(fine[x], 0.0) + w
+        # What was refined is merged; what it was refined from is where the next moves start.
+        part = {fine[v]: part[v] for v in graph}
         graph, loops, count = merged, loop, number
 
 
-def _connected(graph: dict[str, dict[str, float]], part: dict[str, str]) -> dict[str, str]:
-    """Communities split into their connected parts."""
-    out: dict[str, str] = {}
-    for v in sorted(graph):
-        if v in out:
+def _refined(graph: dict[str, dict[str, float]], part: dict[str, str], mass: dict[str, float], rate: float, rng) -> dict[str, str]:
+    """Each community split anew: vertices start alone and, while alone, join a part of their community that gains and is
+    well tied to it, drawn with odds that grow with the gain. Parts are connected, since only ties gain."""
+    import math
+
+    fine = {v: v for v in graph}
+    held, size = dict(mass), dict.fromkeys(graph, 1)
+    whole: dict[str, float] = {}
+    for v, c in part.items():
+        whole[c] = whole.get(c, 0.0) + mass[v]
+    cut = {v: sum(w for x, w in n.items() if part[x] == part[v]) for v, n in graph.items()}
+    tied = lambda v: cut[v] >= rate * mass[v] * (whole[part[v]] - mass[v]) - 1e-12
+    outer = dict(cut)  # of each part, its ties to the rest of its community
+    for v in rng.sample(sorted(graph), len(graph)):
+        if size[fine[v]] > 1 or not tied(v):
             continue
-        ring = [v]
-        out[v] = v
-        while ring:
-            x = ring.pop()
-            for y in graph[x]:
-                if y not in out and part[y] == part[v]:
-                    out[y] = v
-                    ring.append(y)
-    return out
-
-
-def _map_equation(near: dict[str, dict[str, float]], seed: int) -> dict[str, str]:
-    """Communities that shorten the two-level description of a random walk, by greedy moves of single vertices."""
+        links: dict[str, float] = {}
+        for x, w in graph[v].items():
+            if part[x] == part[v]:
+                links[fine[x]] = links.get(fine[x], 0.0) + w
+        odds = []
+        for c in sorted(links):
+            gain = links[c] - rate * mass[v] * held[c]
+            if c != fine[v] and gain > 1e-12 and outer[c] >= rate * held[c] * (whole[part[v]] - held[c]) - 1e-12:
+                odds.append((c, gain))
+        if not odds:
+            continue
+        top = max(g for _, g in odds)
+        c = rng.choices([c for c, _ in odds], [math.exp((g - top) / (0.01 * max(top, 1e-9))) for _, g in odds])[0]
+        old = fine[v]
+        outer[c] += cut[v] - 2 * links[c]
+        held[c] += mass[v]
+        size[c] += size[old]
+        held[old] = size[old] = outer[old] = 0
+        fine[v] = c
+    return fine
+
+
+def _map_equation(near: dict[str, dict[str, float]], seed: int, trials: int = 5) -> dict[str, str]:
+    """Communities that shorten the two-level description of a random walk: of ``trials`` runs, the shortest. A run moves
+    vertices one by one until none shortens it, merges communities into vertices, and goes on."""
+    runs = [_map_run(near, seed * trials + k) for k in range(trials)]
+    return min(runs, key=lambda r: r[0])[1]
+
+
+def _plogp(x: float) -> float:
     import math
+
+    return x * math.log2(x) if x > 1e-15 else 0.0
+
+
+def _map_run(near: dict[str, dict[str, float]], seed: int) -> tuple[float, dict[str, str]]:
     import random
 
-    rng = random.Random(seed)
-    total = sum(sum(n.values()) for n in near.values())
+    rng, f = random.Random(seed), _plogp
+    total = sum(sum(n.values()) for n in near.values()) or 1.0
+    graph = {v: {x: w / total for x, w in n.items() if x != v} for v, n in near.items()}
     flow = {v: sum(n.values()) / total for v, n in near.items()}
-    part = {v: v for v in near}
-    inside, leaves = dict(flow), dict(flow)
-    f = lambda x: x * math.log2(x) if x > 1e-15 else 0.0
-    moving, left = True, sum(leaves.values())
-    while moving:
-        moving = False
-        for v in rng.sample(sorted(near), len(near)):
-            here = part[v]
-            links: dict[str, float] = {}
-            for x, w in near[v].items():
-                links[part[x]] = links.get(part[x], 0.0) + w / total
-            best, gain = here, -1e-12
-            out_here = leaves[here] - flow[v] + 2 * links.get(here, 0.0)
-            for c in sorted(links):
-                if c == here:
-                    continue
-                out_c = leaves[c] + flow[v] - 2 * links[c]
-                q = left - leaves[here] - leaves[c] + out_here + out_c
-                d = f(q) - f(left) - 2 * (f(out_here) + f(out_c) - f(leaves[here]) - f(leaves[c]))
-                d += f(out_here + inside[here] - flow[v]) + f(out_c + inside[c] + flow[v]) - f(leaves[here] + inside[here]) - f(leaves[c] + inside[c])
-                if d < gain:
-                    best, gain, kept = c, d, (out_here, out_c, q)
-            if best != here:
-                leaves[here], leaves[best], left = kept
-                inside[here] -= flow[v]
-                inside[best] += flow[v]
-                part[v], moving = best, True
-    return part
-
-
-def communities(edges: DataFrame, comps: DataFrame, method: str, seeds: Iterable[int] = (0,), resolution: float | None = None, most: int = 200_000) -> DataFrame:
-    """``(comp, semilla, doc_id, comunidad)`` by ``louvain``, ``leiden`` (connected communities), ``cpm`` (constant Potts
-    model; by default the resolution is the component's density) or ``infomap``, one run per seed. Communities are
-    numbered by their smallest member. Components of more than ``most`` edges are left out."""
-    seeds = list(seeds)
-
-    def kernel(comp, a_, b_, w_):
+    base = sum(f(x) for x in flow.values())
+    label = {v: v for v in graph}
+    while True:
+        part = {v: v for v in graph}
+        away = {v: sum(n.values()) for v, n in graph.items()}
+        inside, leaves = dict(flow), dict(away)
+        left, moved, moving = sum(leaves.values()), False, True
+        while moving:
+            moving = False
+            for v in rng.sample(sorted(graph), len(graph)):
+                here = part[v]
+                links: dict[str, float] = {}
+                for x, w in graph[v].items():
+                    links[part[x]] = links.get(part[x], 0.0) + w
+                best, gain, kept = here, -1e-10, None
+                out_here = leaves[here] - away[v] + 2 * links.get(here, 0.0)
+                for c in sorted(links):
+                    if c == here:
+                        continue
+                    out_c = leaves[c] + away[v] - 2 * links[c]
+                    q = left - leaves[here] - leaves[c] + out_here + out_c
+                    d = f(q) - f(left) - 2 * (f(out_here) + f(out_c) - f(leaves[here]) - f(leaves[c]))
+                    d += f(out_here + inside[here] - flow[v]) + f(out_c + inside[c] + flow[v]) - f(leaves[here] + inside[here]) - f(leaves[c] + inside[c])
+                    if d < gain:
+                        best, gain, kept = c, d, (out_here, out_c, q)
+                if kept:
+                    leaves[here], leaves[best], left = kept
+                    inside[here] -= flow[v]
+                    inside[best] += flow[v]
+                    part[v], moving, moved = best, True, True
+        if not moved:
+            used = set(part.values())
+            length = f(left) - 2 * sum(f(leaves[c]) for c in used) - base + sum(f(leaves[c] + inside[c]) for c in used)
+            return length, label
+        label = {v: part[c] for v, c in label.items()}
+        merged: dict[str, dict[str, float]] = {c: {} for c in set(part.values())}
+        for v, n in graph.items():
+            for x, w in n.items():
+                if part[x] != part[v]:
+                    merged[part[v]][part[x]] = merged[part[v]].get(part[x], 0.0) + w
+        flow = {c: inside[c] for c in merged}
+        graph = merged
+
+
+def communities(edges: DataFrame, comps: DataFrame, method: str, seeds: Iterable[int] = (0,), resolution: float | None = None) -> DataFrame:
+    """``(comp, semilla, doc_id, comunidad)`` by ``louvain``, ``leiden`` (with refinement), ``cpm`` (constant Potts model,
+    refined; by default the resolution is the component's density) or ``infomap``, one run per seed. Communities are
+    numbered by their smallest member. Runs are spread over tasks; a run holds one component."""
+
+    def kernel(comp, a_, b_, w_, seed, parts):
         near: dict[str, dict[str, float]] = {}
         for a, b, w in zip(a_, b_, w_):
             near.setdefault(a, {})[b] = w
             near.setdefault(b, {})[a] = w
         near = dict(sorted(near.items()))
         n, m = len(near), len(a_)
-        out = []
-        for s in seeds:
-            if method == "infomap":
-                label = _map_equation(near, s)
-            else:
-                r = resolution if resolution is not None else (2 * m / (n * (n - 1)) if method == "cpm" else 1.0)
-                label = _levels(near, method, r, s)
-            name: dict[str, int] = {}
-            for v in near:
-                out.append((comp, s, v, name.setdefault(label[v], len(name))))
-        return out
-
-    return _per_component(edges, comps, most, kernel, "comp string, semilla int, doc_id string, comunidad int")
+        if method == "infomap":
+            label = _map_equation(near, seed)
+        else:
+            r = resolution if resolution is not None else (2 * m / (n * (n - 1)) if method == "cpm" else 1.0)
+            label = _levels(near, method, r, seed)
+        name: dict[str, int] = {}
+        return [(comp, seed, v, name.setdefault(label[v], len(name))) for v in near]
+
+    runs = _packed(edges, comps).withColumns({"part": F.explode(F.array(*[F.lit(s) for s in seeds])), "parts": F.lit(1)})
+    return _spread(runs, kernel, "comp string, semilla int, doc_id string, comunidad int")
 
 
 def coassignment(runs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -134,9 +134,13 @@ def community_resolutions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def community_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the edges whose ends are together in at least half of eighty seeded runs."""
+    """Components of the edges whose ends are together in at least half of eighty runs: twenty seeds of four methods."""
     e, c = accepted(spark, d)
-    both = G.coassignment(G.communities(e, c, "louvain", range(80)), e).where("parte >= 0.5")
+    runs = None
+    for k, method in enumerate(("louvain", "leiden", "cpm", "infomap")):
+        x = G.communities(e, c, method, range(20)).withColumn("semilla", F.col("semilla") + 20 * k)
+        runs = x if runs is None else runs.union(x)
+    both = G.coassignment(Scratch(spark, "runs").write(runs), e).where("parte >= 0.5")
     return G.components(both.select("a", "b")).groupBy("comp").agg(F.count("*").alias("docs"))
 
 
@@ -304,7 +308,20 @@ _REC = (
 )
 _UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
 _U_TEST = "t AS (SELECT w, count(*) AS t, count(*) FILTER (dias > 365) AS a FROM edges WHERE dias IS NOT NULL AND w IS NOT NULL GROUP BY 1), r AS (SELECT *, coalesce(sum(t) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rk FROM t), m AS (SELECT sum(t)::BIGINT AS n, sum(a)::BIGINT AS n1, sum(a * rk) - sum(a) * (sum(a) + 1) / 2 AS u, sum(t::DOUBLE * t * t - t) AS ties FROM r)"
+# A bridge is an edge whose ends don't reach each other without it: by search from one end over all other edges.
+_BRIDGES = (
+    "reach(a, b, v) AS (SELECT a, b, a FROM e45 UNION SELECT r.a, r.b, s.x FROM reach r JOIN s ON s.v = r.v WHERE NOT (s.v = r.a AND s.x = r.b) AND NOT (s.v = r.b AND s.x = r.a)), "
+    "side AS (SELECT a, b, count(*) AS n, count(*) FILTER (v = b) AS meets FROM reach GROUP BY ALL), total AS (SELECT comp, count(*) AS t FROM comps GROUP BY 1), "
+    "br AS (SELECT side.a, side.b, w, comp, least(n, t - n) AS lado_menor FROM side JOIN e45 USING (a, b) JOIN comps ON comps.doc_id = side.a JOIN total USING (comp) WHERE meets = 0)"
+)
+_SCEN = (
+    "sc AS (SELECT x.esc AS escenario, e45.a, e45.b FROM e45 LEFT JOIN (SELECT a, b, 1 AS p FROM br) q USING (a, b), (VALUES ('P0'), ('P1'), ('P2'), ('S048'), ('S050'), ('S052')) x(esc) "
+    "WHERE CASE esc WHEN 'P0' THEN true WHEN 'P1' THEN p IS NULL WHEN 'P2' THEN p IS NULL OR w >= 0.5 WHEN 'S048' THEN w >= 0.48 WHEN 'S050' THEN w >= 0.5 ELSE w >= 0.52 END)"
+)
 ORACLE = {
+    "graph_bridges": Q.query(*_C, _BRIDGES, "SELECT a, b, w < 0.5 AS debil, lado_menor FROM br"),
+    "graph_pruning": Q.query(*_C, _BRIDGES, _SCEN, Q.components("sc", "cut", "escenario"), "tp AS (SELECT sum(t * (t - 1) / 2) AS tp FROM total), z AS (SELECT escenario, comp, count(*) AS n FROM cut GROUP BY ALL)", "SELECT escenario, aristas, componentes, mayor, round(p / tp, 6) AS retencion FROM (SELECT escenario, count(*) AS componentes, max(n) AS mayor, sum(n * (n - 1) / 2) AS p FROM z GROUP BY 1) JOIN (SELECT escenario, count(*) AS aristas FROM sc GROUP BY 1) USING (escenario), tp"),
+    "graph_block_tree": Q.query(*_C, _BRIDGES, "inn AS (SELECT a, b FROM e45 WHERE (a, b) NOT IN (SELECT (a, b) FROM br))", Q.components("inn", "blk"), "bl AS (SELECT comps.doc_id, comps.comp, coalesce(blk.comp, comps.doc_id) AS bloque FROM comps LEFT JOIN blk USING (doc_id)), dg AS (SELECT bl.comp, bloque, count(*) AS puentes FROM (SELECT a AS doc_id FROM br UNION ALL SELECT b FROM br) JOIN bl USING (doc_id) GROUP BY ALL), sz AS (SELECT comp, bloque, count(*) AS n FROM bl WHERE comp IN (SELECT comp FROM br) GROUP BY ALL)", "SELECT comp, count(*) AS bloques, count(*) FILTER (puentes = 1) AS hojas, max(n) AS mayor, (sum(n) * (sum(n) - 1) / 2 - sum(n * (n - 1) / 2))::BIGINT AS pares_por_puente FROM sz LEFT JOIN dg USING (comp, bloque) GROUP BY 1"),
     "graph_vertices": Q.query(*_G, _TRI, "tv AS (SELECT v, count(*) AS tri FROM (SELECT x AS v FROM tri) GROUP BY 1), g AS (SELECT v, count(*) AS grado, sum(w) AS gw FROM s GROUP BY 1)", "SELECT g.v AS doc_id, grado, round(gw, 6) AS grado_w, coalesce(tri, 0) AS tri, round(CASE WHEN grado > 1 THEN 2 * coalesce(tri, 0) / (grado * (grado - 1)) ELSE 0 END, 6) AS agrupamiento FROM g LEFT JOIN tv ON tv.v = g.v"),
     "graph_edges": Q.query(*_G, "g AS (SELECT v, count(*) AS g FROM s GROUP BY 1), c AS (SELECT a, b, count(q.x) AS comunes FROM e45 JOIN s p ON p.v = a LEFT JOIN s q ON q.v = b AND q.x = p.x GROUP BY ALL)", "SELECT a, b, x.g AS ga, y.g AS gb, comunes, round(comunes / greatest(1, x.g - 1 + y.g - 1 - comunes), 6) AS incrustacion FROM c JOIN g x ON x.v = a JOIN g y ON y.v = b"),
     "graph_density": Q.query(*_C, "n AS (SELECT comp, count(*) AS nodos FROM comps GROUP BY 1), m AS (SELECT comp, count(*) AS aristas FROM e45 JOIN comps ON doc_id = a GROUP BY 1)", "SELECT comp, nodos, aristas, round(2 * aristas / (nodos * (nodos - 1)), 6) AS densidad FROM n JOIN m USING (comp)"),
