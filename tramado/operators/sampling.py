@@ -20,6 +20,13 @@ def simple(df: DataFrame, k: int, seed: int, *ids: str) -> DataFrame:
     return df.withColumn("_t", ticket(seed, *ids)).orderBy("_t", *ids).limit(k).drop("_t")
 
 
+def ranked(df: DataFrame, key: str, seed: int, *ids: str) -> DataFrame:
+    """Column ``k``: the place from 1 of each row among those of its ``key``, in random order. Rows are split by ranges, so a
+    key may have any number of them."""
+    x = places(df, [key], [ticket(seed, *ids), *[F.col(i) for i in ids]], "k", "_m")
+    return x.withColumn("k", F.col("k") + 1).drop("_m")
+
+
 def stratified(df: DataFrame, stratum: str, k: int | Column, seed: int, *ids: str) -> DataFrame:
     """``k`` rows of each stratum. The rank filter is applied before the shuffle too, so a large stratum moves k rows a
     task."""

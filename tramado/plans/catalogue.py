@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, packed, review, stream, threads, topology
+from . import corpus, evidence, packed, review, stream, threads, topology
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**packed.QUERIES, **corpus.QUERIES, **threads.QUERIES, **review.QUERIES, **topology.QUERIES, **stream.QUERIES}
+    return {**packed.QUERIES, **corpus.QUERIES, **threads.QUERIES, **review.QUERIES, **topology.QUERIES, **evidence.QUERIES, **stream.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**corpus.ORACLE, **threads.ORACLE, **review.ORACLE, **topology.ORACLE, **stream.ORACLE}
+    return {**corpus.ORACLE, **threads.ORACLE, **review.ORACLE, **topology.ORACLE, **evidence.ORACLE, **stream.ORACLE}

@@ -114,15 +114,16 @@ def thread_isolates(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).join(t, "id", "left_anti").select("id", S.day(F.col("fecha_iso")).cast("string").alias("fecha"))
 
 
-def _groups(t: DataFrame) -> DataFrame:
-    return t.select("doc_id", F.col("comp").alias("grupo"))
-
-
 def thread_tiers(spark: SparkSession, d: str) -> DataFrame:
-    """How alike the threads of two tiers and of two thresholds are."""
-    base, out = _groups(threads(spark, d)), None
-    for name, tau, tier in (("L1", 0.45, "L1"), ("L3", 0.45, "L3"), ("tau_55", 0.55, "L2")):
-        x = R.compare(base, _groups(threads(spark, d, tau, tier))).withColumn("con", F.lit(name))
+    """How alike the threads of two tiers and of two thresholds are. All variants share the rounds of one component run."""
+    scratch = Scratch(spark, "tiers")
+    rules = {"base": P.accepted(F.lit(TAU)), "L1": P.accepted(F.lit(TAU), "L1"), "L3": P.accepted(F.lit(TAU), "L3"), "tau_55": P.accepted(F.lit(0.55))}
+    e = edges(spark, d).withColumn("variante", F.explode(F.array(*[F.when(ok, F.lit(name)) for name, ok in rules.items()]))).where("variante is not null")
+    c = scratch.write(G.components(e.select("variante", "a", "b"), ["variante"]).select("variante", "doc_id", F.col("comp").alias("grupo")))
+    of = lambda v: c.where(F.col("variante") == v).select("doc_id", "grupo")
+    out = None
+    for name in ("L1", "L3", "tau_55"):
+        x = R.compare(of("base"), of(name)).withColumn("con", F.lit(name))
         out = x if out is None else out.union(x)
     return out.select("con", "docs", "grupos_a", "grupos_b", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("pares_a", "pares_b", "pares_ambos", "jaccard", "ari", "nmi", "vi", "retencion")])
 
