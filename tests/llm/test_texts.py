@@ -6,7 +6,7 @@ import pytest
 
 from tramado.llm.wordarrays import chunks, shingles, words
 from tramado.llm import neardup as N
-from tramado.llm.leakage import leaked_items
+from tramado.llm.leakage import PART, SLIP, Index, _corrected, _pairs, _passages, leaked_items
 from tramado.llm.sentences import Model, Places, _stripped, spans, split_sentences
 
 VOCAB = [a + b + c for a in ("ka", "lo", "mi", "tu", "re") for b in ("na", "so", "pi", "dru") for c in ("l", "nte", "s", "rma", "xo")]
@@ -89,6 +89,49 @@ def test_leaks(spark):
     assert leaked_items(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
 
+def test_leaks_with_slips(spark):
+    """Half of an item's words and more, with a word in six mistyped by one letter; unrelated text carries nothing."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(5, 9)))
+    items = [(k, [word() for _ in range(60)]) for k in range(30)]
+
+    def slip(x):
+        i = rng.randrange(1, len(x) - 1)
+        return rng.choice([x[:i] + "z" + x[i + 1 :], x[:i] + x[i + 1 :], x[:i] + "z" + x[i:], x[: i - 1] + x[i] + x[i - 1] + x[i + 1 :]])
+
+    docs = []
+    for k, w in items:
+        a = rng.randint(0, 24)
+        docs.append((k, " ".join([word() for _ in range(40)] + [slip(x) if j % 6 == 3 else x for j, x in enumerate(w[a : a + 36])] + [word() for _ in range(40)])))
+        docs.append((100 + k, " ".join(w[:24] + [word() for _ in range(60)])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, t string")
+    got = {tuple(r) for r in leaked_items(d, "doc_id", "text", i, "item_id", "t").collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
+def test_index_finds_what_full_scores_find():
+    """Lists and blocks against scores of all passages and items."""
+    rng = random.Random(3)
+    texts = [text(rng, rng.randint(10, 80)) for _ in range(50)]
+    index = Index(texts)
+    w, at, lone = words([t + " " + text(rng, 40) for t in texts] + [text(rng, 300)], markup=False, deletions=SLIP)
+    got = set(zip(*(x.tolist() for x in _passages(index, _corrected(index, w, lone), at))))
+    dense = np.zeros((len(index.vocabulary), len(texts)))
+    for t in range(len(index.vocabulary)):
+        dense[t, index.item[index.start[t] : index.start[t + 1]]] = index.impact[index.start[t] : index.start[t + 1]]
+    want = set()
+    for d in range(len(texts) + 1):
+        mine = np.flatnonzero(at == d)
+        for a in range(0, len(mine), 16):
+            span = mine[a : a + 32]
+            pairs, _ = _pairs(*(np.append(x[span], x[span[-1] + 1]) if span[-1] + 1 < len(x) else x[span] for x in (w, at)))
+            spot = np.minimum(np.searchsorted(index.vocabulary, pairs), len(index.vocabulary) - 1)
+            score = dense[spot[index.vocabulary[spot] == pairs]].sum(0)
+            want |= {(d, int(span[0]), int(i)) for i in np.flatnonzero(score >= PART + 1e-6)}
+    assert want <= got and len(got - want) <= 2 and want
+
+
 SENTENCES = [
     ["El Sr. Pérez llegó a las 10.30 a. m. y se fue.", "La carta llegó de EE. UU. con copia a la Dra. Ruiz.", "¿Cuándo?", "¡Basta!", "Faltan planos, timbres, etc.", "Nadie contestó."],
     ["«No vamos a firmar.», respondió Luis Mora.", "—Nos quedamos —dijo Ana—.", "La reunión... nunca empezó.", "Según la pág. 39 (véase fig. 6.1), está seco."],

@@ -2,10 +2,11 @@
 
 Queries run the other way round: the test items are few and are indexed; every passage of every document is a query.
 Terms are pairs of neighbouring words, so that a passage with an item's words in another order scores low.
-Retrieval is block-max WAND, over all passages of a batch at once: a passage whose words' highest impacts don't reach
-the threshold is skipped; then blocks of items whose highest impacts don't; only what is left is scored. The bounds are
-never below the score, so all items above the threshold are retrieved. Each is then verified by a local alignment of
-the document's words around the passage with the item's words.
+Retrieval is block-max WAND on inverted lists, over all passages of a batch at once: a passage whose words' highest
+impacts don't reach the threshold is skipped; then blocks of items whose highest impacts don't; only what is left is
+scored. The bounds are never below the score, so all items above the threshold are retrieved. Each is then verified by a
+local alignment of the document's words around the passage with the item's words. Before all this, words of the document
+that are one edit or swap away from an item's word, and no item's word themselves, are read as that word.
 """
 
 from __future__ import annotations
@@ -24,37 +25,83 @@ PART = 0.16  # least score, as a share of an item's score with itself
 K1, B = 1.2, 0.75
 BLOCK = 8
 SIEVE = 20
-ITEMS = 512  # items per index; more are indexed in several
+ITEMS = 50_000  # items per index: some 50 MB of lists at sixty words each; more are indexed in several
 SUB, GAP = 0.3, 0.4
 CARRIED = 0.5
+SLIP = 5  # words of so many letters may be mistyped by one edit or swap
 
 
 class Index:
-    """Impacts of terms on items, their maxima by block of items, and the items' words."""
+    """Inverted lists of the items: for each term the items it is in with its impact, and the blocks of items with the
+    highest impact in each; the items' words, and the forms of their longer words with one letter left out."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = np.array(ids, np.int64)
-        w, at = words(texts, markup=False)
+    def __init__(self, texts: list[str]):
+        w, at, lone = words(texts, markup=False, deletions=SLIP)
         n = len(texts)
-        self.items = [w[at == i] for i in range(n)]
+        bounds = np.searchsorted(at, np.arange(n + 1))
+        self.items = [w[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        self.words = np.unique(w)
+        # A form with a letter left out stands for the smallest word it comes from.
+        form, of, first, _ = lone
+        form, whole = np.concatenate((form, w[first])), np.concatenate((w[first][of], w[first]))
+        order = np.lexsort((whole, form))
+        first = np.concatenate(([True], form[order][1:] != form[order][:-1])) if len(form) else np.zeros(0, bool)
+        self.forms, self.stands = form[order][first], whole[order][first]
         pairs, at = _pairs(w, at)
         length = np.bincount(at, minlength=n)
         self.vocabulary, term = np.unique(pairs, return_inverse=True)
         v = len(self.vocabulary)
-        tf = np.zeros((v, n), np.float32)
-        np.add.at(tf, (term, at), 1)
-        df = (tf > 0).sum(1)
+        cell, tf = np.unique(term.astype(np.int64) * max(n, 1) + at, return_counts=True)
+        term, self.item = cell // max(n, 1), (cell % max(n, 1)).astype(np.int32)
+        df = np.bincount(term, minlength=v)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1))
-        impact = idf[:, None] * tf * (K1 + 1) / (tf + norm)
-        own = (impact * tf).sum(0)
-        self.impact = np.vstack((impact / np.maximum(own, 1e-9), np.zeros((1, n)))).astype(np.float32)
-        self.blocks = np.stack([self.impact[:, i : i + BLOCK].max(1) for i in range(0, n, BLOCK)], 1)
-        self.most = self.impact.max(1)
+        norm = K1 * (1 - B + B * length / max(length.mean() if n else 1, 1))
+        impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.item])
+        own = np.bincount(self.item, impact * tf, max(n, 1))
+        self.impact = (impact / np.maximum(own[self.item], 1e-9)).astype(np.float32)
+        self.start = np.searchsorted(term, np.arange(v + 1))
+        new = np.concatenate(([True], (term[1:] != term[:-1]) | (self.item[1:] // BLOCK != self.item[:-1] // BLOCK))) if len(term) else np.zeros(0, bool)
+        at_block = np.flatnonzero(new)
+        self.block = self.item[at_block] // BLOCK
+        self.top = np.maximum.reduceat(self.impact, at_block) if len(at_block) else np.zeros(0, np.float32)
+        self.block_start = np.searchsorted(term[at_block], np.arange(v + 1))
+        self.most = np.zeros(v + 1, np.float32)
+        np.maximum.at(self.most, term, self.impact)
         self.sieve = np.zeros(1 << SIEVE, bool)  # which leading bits any term has
         self.sieve[self.vocabulary >> np.uint64(64 - SIEVE)] = True
 
 
+def _expand(start: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each occurrence of a term, the places of its list: (occurrence, place)."""
+    size = start[term + 1] - start[term]
+    which = np.repeat(np.arange(len(term)), size)
+    return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[term], size)
+
+
+def _summed(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Keys whose values add up to PART at least, in order."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    if not len(key):
+        return key
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first][np.add.reduceat(value, first) >= PART]
+
+
+def _corrected(index: Index, w: np.ndarray, lone: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Words that are no item's, but one edit or swap away from one, as that word."""
+    if not len(index.forms) or not len(w):
+        return w
+    form, of, first, same = lone
+    each = w[first]
+    strange = index.words[np.minimum(np.searchsorted(index.words, each), len(index.words) - 1)] != each
+    form, of = np.concatenate((form[strange[of]], each[strange])), np.concatenate((of[strange[of]], np.flatnonzero(strange)))
+    spot = np.minimum(np.searchsorted(index.forms, form), len(index.forms) - 1)
+    hit = index.forms[spot] == form
+    each[of[hit]] = index.stands[spot[hit]]
+    return each[same]
+
+
 def _pairs(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The index terms: hashes of neighbouring words of a text, and the text of each."""
     with np.errstate(over="ignore"):
@@ -101,54 +148,32 @@ def _passages(index: Index, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     half = np.flatnonzero(place % HALF == 0)
     of = at[half]
     pair = np.concatenate((of[1:] == of[:-1], [False]))
-
-    def both(sums: np.ndarray) -> np.ndarray:
-        out = sums.copy()
-        out[:-1][pair[:-1]] += sums[1:][pair[:-1]]
-        return out
-
-    def sums(table: np.ndarray, keep: np.ndarray) -> np.ndarray:
-        """Sums of the words' rows over each kept half, known words only."""
-        number = np.cumsum(keep) - 1
-        which = np.repeat(np.arange(len(half)), np.diff(np.concatenate((half, [len(w)]))))
-        use = keep[which] & (term < len(index.vocabulary))
-        which, t = number[which[use]], term[use]
-        out = np.zeros((int(keep.sum()), table.shape[1]), np.float32)
-        if len(t):
-            first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
-            out[which[first]] = np.add.reduceat(table[t], first, 0)
-        return out
-
-    likely = both(np.add.reduceat(index.most[term], half)) >= PART
-    need = likely.copy()
-    need[1:] |= likely[:-1] & pair[:-1]
+    # No passage whose terms' highest impacts don't reach the threshold.
+    most = np.add.reduceat(index.most[term], half)
+    likely = most.copy()
+    likely[:-1][pair[:-1]] += most[1:][pair[:-1]]
+    likely = likely >= PART
     if not likely.any():
         return none
-    number = np.cumsum(need) - 1
-
-    def passage_sums(table: np.ndarray, passages: np.ndarray) -> np.ndarray:
-        s = sums(table, need_of(passages))
-        num = np.cumsum(need_of(passages)) - 1
-        out = s[num[passages]]
-        two = pair[passages]
-        out[two] += s[num[passages[two] + 1]]
-        return out
-
-    def need_of(passages: np.ndarray) -> np.ndarray:
-        m = np.zeros(len(half), bool)
-        m[passages] = True
-        m[passages[pair[passages]] + 1] = True
-        return m
-
-    p = np.flatnonzero(likely)
-    hit = passage_sums(index.blocks, p) >= PART
-    p, hit = p[hit.any(1)], hit[hit.any(1)]
-    if not len(p):
+    which = np.repeat(np.arange(len(half)), np.diff(np.concatenate((half, [len(w)]))))
+    use = term < len(index.vocabulary)
+    h, t = which[use], term[use]
+    before = np.maximum(h - 1, 0)
+    own, back = likely[h], likely[before] & pair[before] & (h > 0)
+    passage, t = np.concatenate((h[own], before[back])), np.concatenate((t[own], t[back]))
+    # No block of items whose highest impacts don't reach it; of the others, every item is scored.
+    blocks = np.int64(len(index.items) // BLOCK + 1)
+    i, k = _expand(index.block_start, t)
+    alive = _summed(passage[i] * blocks + index.block[k], index.top[k])
+    if not len(alive):
         return none
-    score = passage_sums(index.impact, p)
-    score[~np.repeat(hit, BLOCK, 1)[:, : score.shape[1]]] = 0
-    x, item = np.nonzero(score >= PART)
-    return of[p[x]], half[p[x]], item
+    i, k = _expand(index.start, t)
+    key = passage[i] * blocks + index.item[k] // BLOCK
+    spot = np.minimum(np.searchsorted(alive, key), len(alive) - 1)
+    on = alive[spot] == key
+    n = np.int64(len(index.items))
+    found = _summed(passage[i[on]] * n + index.item[k[on]], index.impact[k[on]])
+    return of[found // n], half[found // n], found % n
 
 
 def _search(index: Index, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +198,7 @@ def _search(index: Index, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     for a in range(0, len(doc), 128):
         k = by_size[a : a + 128]
         got = _align([w[lo[i] : hi[i]] for i in k], [index.items[item[i]] for i in k])
-        good[k] = got >= CARRIED * 0.92 * size[item[k]]
+        good[k] = got >= CARRIED * size[item[k]]
     return doc[good], item[good]
 
 
@@ -194,14 +219,14 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     block: list = []
 
     def search(block: list) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index(list(range(len(block))), [r[1] for r in block]))
+        index = spark.sparkContext.broadcast(Index([r[1] for r in block]))
         ids = spark.sparkContext.broadcast([r[0] for r in block])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for first, part in chunks(batch.column(1).to_pylist()):
-                    w, at = words(part, markup=False)
-                    d, i = _search(index.value, w, at)
+                    w, at, lone = words(part, markup=False, deletions=SLIP)
+                    d, i = _search(index.value, _corrected(index.value, w, lone), at)
                     keys = batch.column(0).take(pa.array(d + first, pa.int64()))
                     yield pa.RecordBatch.from_arrays([keys, pa.array([ids.value[k] for k in i], _arrow(ikind))], [key, item])
 

@@ -79,9 +79,28 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, part
 
 
-def words(texts: list[str], markup: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def _shortened(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of ``least`` letters or more (up to 24) with each letter left out in turn, and the word of each."""
+    long_ = np.flatnonzero((ends - starts >= least) & (ends - starts <= 24))
+    if not len(long_):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = 1 << max(20, int(len(codes)).bit_length())
+    power, inverse = _powers(size)
+    n = (ends - starts)[long_]
+    of = np.repeat(long_, n)
+    cut = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + starts[of]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(codes.astype(np.uint64) * power[: len(codes)], dtype=np.uint64, out=sums[1:])
+        head = (sums[cut] - sums[starts[of]]) * inverse[starts[of]]
+        tail = (sums[ends[of]] - sums[cut + 1]) * inverse[starts[of] + 1]
+        return mix(head + tail), of
+
+
+def words(texts: list[str], markup: bool = True, deletions: int = 0) -> tuple[np.ndarray, ...]:
     """Hashes of all words and the index of the text of each, in order. Case, accents, punctuation, spacing and (with
-    ``markup``) tags and character references don't count."""
+    ``markup``) tags and character references don't count. With ``deletions``, also the hashes of the different words of so
+    many letters with each letter left out, the word of each, a place of each word, and the word at each place."""
     joined = _END.join(t.replace(_END, " ") if _END in t else t for t in texts)
     if markup:
         if "<" in joined:
@@ -99,7 +118,12 @@ def words(texts: list[str], markup: bool = True) -> tuple[np.ndarray, np.ndarray
     inside = np.concatenate(([False], f > 1, [False]))
     step = np.diff(inside.astype(np.int8))
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    return hash_words(f, starts, ends), at[starts] if len(starts) else np.zeros(0, np.int64)
+    h, at = hash_words(f, starts, ends), at[starts] if len(starts) else np.zeros(0, np.int64)
+    if not deletions:
+        return h, at
+    _, first, same = np.unique(h, return_index=True, return_inverse=True)
+    form, of = _shortened(f, starts[first], ends[first], deletions) if len(h) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return h, at, (form, of, first, same)
 
 
 def shingles(w: np.ndarray, doc: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
