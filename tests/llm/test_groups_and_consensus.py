@@ -62,6 +62,8 @@ def test_consensus_beats_vote(spark):
         vote.setdefault(c, []).append(d.lower().replace(" ", "_").replace("-", "_"))
     assert right(lambda c: got[c].etiqueta) >= max(0.85, right(lambda c: max(LABELS, key=vote.get(c, []).count)) + 0.05)
     assert all(0 <= r.acuerdo <= 1 and 0 < r.confianza <= 1 for r in got.values())
+    plain = {r.case_id: r.etiqueta for r in consensus(df, "case_id", "who", "d", "t", LABELS, "indeterminado", habits=False)[0].collect()}
+    assert right(lambda c: got[c].etiqueta) >= right(lambda c: plain[c]) >= right(lambda c: max(LABELS, key=vote.get(c, []).count))
     t = {r.who: r.fiabilidad for r in trust.collect()}
     assert min(t[f"a{j}"] for j in range(4)) > max(t[f"a{j}"] for j in range(4, 8))
 

@@ -2,8 +2,9 @@
 
 Each label is either truthful, with the annotator's competence as probability, or drawn from the annotator's own guess
 distribution. Expectation-maximisation yields the true labels' probabilities, competences and guess distributions.
-Some annotators guess by a habit that depends on the item (one grade too low, say). So a guess distribution may differ
-by true label where an annotator's labels show it: it is drawn towards the annotator's common one with weight ``COMMON``.
+Some annotators guess by a habit that depends on the item (one grade too low, say). With ``habits`` a guess distribution
+may differ by true label where an annotator's labels show it: it is drawn towards the annotator's common one with weight
+``COMMON``. Without, it is the plain mixture.
 
 The labels of an item are packed into one row once. An iteration is one pass: every batch adds up what its items expect
 of each annotator and label, partial sums meet in one small aggregation, and the parameters (annotators x labels
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 from ..functions.text import plain_words
 from ..sources.tables import Scratch
 
-ROUNDS = 40
-CLOSE = 1e-3
+#: Rounds at most, and how little every parameter moves in a round when the fit is done.
+ROUNDS = 200
+CLOSE = 2e-3
+#: Bytes of parameters sent to each executor at most.
+LARGEST = 1 << 29
 SMOOTH = 0.1
 COMMON = 10
 
@@ -65,12 +69,13 @@ def _posterior(p: Parameters, n: int, item: np.ndarray, who: np.ndarray, what: n
 def _expect(items: DataFrame, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected truthful labels by annotator, guesses by annotator, true label and label given, items by true label."""
     j, k = p.guess.shape[:2]
+    shared = items.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         true, spam, of = np.zeros(j), np.zeros((j, k, k)), np.zeros(k)
         for batch in batches:
             item, who, what = _rows(batch)
-            post, share = _posterior(p, batch.num_rows, item, who, what)
+            post, share = _posterior(shared.value, batch.num_rows, item, who, what)
             np.add.at(true, who, share)
             guess = post[item]
             guess[np.arange(len(item)), what] -= share
@@ -82,12 +87,15 @@ def _expect(items: DataFrame, p: Parameters) -> tuple[np.ndarray, np.ndarray, np
     total = np.zeros(j + j * k * k + k)
     for r in items.mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         total[r["at"]] = r["x"]
+    shared.destroy()
     return total[:j], total[j : j + j * k * k].reshape(j, k, k), total[j + j * k * k :]
 
 
-def fit(items: DataFrame, annotators: int, labels: int) -> Parameters:
+def fit(items: DataFrame, annotators: int, labels: int, habits: bool = True) -> Parameters:
     """Parameters fitted to ``items`` (columns who, what: arrays of annotator and label numbers). The start treats all
-    annotators alike, so the first posterior is close to a vote."""
+    annotators alike, so the first posterior is close to a vote. The fit ends when no parameter moves by ``CLOSE``."""
+    if annotators * labels * labels * 8 > LARGEST:
+        raise ValueError(f"parameters of {annotators} annotators don't fit an executor")
     p = Parameters(np.full(annotators, 0.7), np.full((annotators, labels, labels), 1 / labels), np.full(labels, 1 / labels))
     for _ in range(ROUNDS):
         true, spam, of = _expect(items, p)
@@ -95,16 +103,17 @@ def fit(items: DataFrame, annotators: int, labels: int) -> Parameters:
         competence = np.clip((true + SMOOTH) / (n + 2 * SMOOTH), 1e-4, 1 - 1e-4)
         common = spam.sum(1) + SMOOTH
         common /= common.sum(1, keepdims=True)
-        guess = (spam + COMMON * common[:, None, :]) / (spam.sum(2, keepdims=True) + COMMON)
+        weight = COMMON if habits else 1e12
+        guess = (spam + weight * common[:, None, :]) / (spam.sum(2, keepdims=True) + weight)
         prior = (of + 1) / (of + 1).sum()
-        moved = np.abs(competence - p.competence).max() if annotators else 0
+        moved = max(np.abs(x - y).max(initial=0) for x, y in ((competence, p.competence), (guess, p.guess), (prior, p.prior)))
         p = Parameters(competence, guess, prior)
         if moved < CLOSE:
             break
     return p
 
 
-def consensus(decisions: DataFrame, item: str, annotator: str, label: str, when: str, labels: tuple[str, ...], unknown: str) -> tuple[DataFrame, DataFrame]:
+def consensus(decisions: DataFrame, item: str, annotator: str, label: str, when: str, labels: tuple[str, ...], unknown: str, habits: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(items, annotators)`` from ``decisions``, a row per decision.
 
     Items: ``(item, etiqueta, confianza, acuerdo, decisiones)``: the most probable label (ties: the first of
@@ -129,12 +138,13 @@ def consensus(decisions: DataFrame, item: str, annotator: str, label: str, when:
     number = spark.createDataFrame(list(enumerate(labels)), "what int, label string")
     known = d.join(code, "annotator").join(number, "label")
     items = scratch.write(known.groupBy("item").agg(F.collect_list(F.struct("who", "what")).alias("x")).select("item", F.col("x.who").alias("who"), F.col("x.what").alias("what")))
-    p = fit(items, len(who), len(labels))
+    p = fit(items, len(who), len(labels), habits)
+    best_fit = spark.sparkContext.broadcast(p)
 
     def label_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i, j, k = _rows(batch)
-            post, _ = _posterior(p, batch.num_rows, i, j, k)
+            post, _ = _posterior(best_fit.value, batch.num_rows, i, j, k)
             best = post.argmax(1)
             n = np.bincount(i, minlength=batch.num_rows)
             agree = np.bincount(i, k == best[i], batch.num_rows) / np.maximum(n, 1)
