@@ -87,14 +87,14 @@ def _communities_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agreement_links(spark: SparkSession, d: str) -> DataFrame:
-    """What is known of the link of each reviewed pair, looked up in either order, and whether its documents are in one
-    community."""
+    """What is known of the link of each reviewed pair, looked up in either order (``dias`` -1 without a link or its days),
+    and whether its documents are known to be in one community."""
     x = table(spark, d, "intermediate_merged_cases").select("case_id", F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).where("a is not null and b is not null").distinct()
     c = _communities_of(spark, d)
     j = x.join(edges(spark, d).select("a", "b", "w", "dias"), ["a", "b"], "left")
     for k in "ab":
         j = j.join(c.select(F.col("doc_id").alias(k), F.col("lou").alias("l" + k), F.col("inf").alias("i" + k)), k, "left")
-    return j.select("case_id", "a", "b", F.col("w").isNotNull().alias("enlace"), F.round("w", 6).alias("w"), "dias", (F.col("la") == F.col("lb")).alias("intra_louvain"), (F.col("ia") == F.col("ib")).alias("intra_infomap"))
+    return j.select("case_id", "a", "b", F.col("w").isNotNull().alias("enlace"), F.round("w", 6).alias("w"), F.coalesce("dias", F.lit(-1)).alias("dias"), F.coalesce(F.col("la") == F.col("lb"), F.lit(False)).alias("intra_louvain"), F.coalesce(F.col("ia") == F.col("ib"), F.lit(False)).alias("intra_infomap"))
 
 
 def sample_pools(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +150,6 @@ ORACLE = {
     "pair_plain": Q.query(Q.DOCS, Q.REFS, _IDF, _PLAIN, "SELECT doc_i, doc_j, dias, round(s_ref, 6) AS s_ref FROM sc WHERE s_ref > 0 AND NOT (dias > 365 AND s_ref < 0.5)"),
     "pair_weighted": Q.query(Q.DOCS, Q.REFS, _IDF, _SCORED, _EMB, "x AS (SELECT scored.*, list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])) AS e FROM scored JOIN vc p ON p.doc_id = doc_i JOIN vc q ON q.doc_id = doc_j)", "SELECT doc_i, doc_j, dias, round(s_ref, 6) AS s_ref, round(e, 6) AS s_emb, round(0.7::DOUBLE * s_ref + 0.3::DOUBLE * e, 6) AS w FROM x"),
     "agreement_errors": Q.query(Q.CASES, _FINAL, "g AS (SELECT coalesce(estrato, 'sin_dato') AS e, coalesce(directa::VARCHAR, 'sin_dato') AS l, final FROM fin WHERE final IS NOT NULL), z AS (SELECT coalesce(e, 'TOTAL') AS estrato, coalesce(l, 'TOTAL') AS enlace, count(*) AS casos, count(*) FILTER (final = 'mismo_proceso_especifico') AS k, count(*) FILTER (final = 'mismo_macroproceso') AS macro, count(*) FILTER (final = 'relacionado_tematicamente') AS relacionado, count(*) FILTER (final = 'no_relacionado') AS no_relacionado, count(*) FILTER (final = 'indeterminado') AS indeterminado, nullif(count(*) FILTER (final <> 'indeterminado'), 0) AS n FROM g GROUP BY CUBE (e, l))", f"SELECT estrato, enlace, casos, k AS mismo, macro, relacionado, no_relacionado, indeterminado, round(k / n, 6) AS tasa, {_w('-')} AS tasa_baja, {_w('+')} AS tasa_alta, round(k / casos, 6) AS tasa_todos FROM z"),
-    "agreement_links": Q.query(Q.EDGES, _COM, "x AS (SELECT DISTINCT case_id, least(doc_a, doc_b) AS a, greatest(doc_a, doc_b) AS b FROM intermediate_merged_cases WHERE doc_a IS NOT NULL AND doc_b IS NOT NULL)", "SELECT case_id, x.a, x.b, w IS NOT NULL AS enlace, round(w, 6) AS w, dias, p.lou = q.lou AS intra_louvain, p.inf = q.inf AS intra_infomap FROM x LEFT JOIN edges e ON e.a = x.a AND e.b = x.b LEFT JOIN cm p ON p.doc_id = x.a LEFT JOIN cm q ON q.doc_id = x.b"),
+    "agreement_links": Q.query(Q.EDGES, _COM, "x AS (SELECT DISTINCT case_id, least(doc_a, doc_b) AS a, greatest(doc_a, doc_b) AS b FROM intermediate_merged_cases WHERE doc_a IS NOT NULL AND doc_b IS NOT NULL)", "SELECT case_id, x.a, x.b, w IS NOT NULL AS enlace, round(w, 6) AS w, coalesce(dias, -1)::INT AS dias, coalesce(p.lou = q.lou, false) AS intra_louvain, coalesce(p.inf = q.inf, false) AS intra_infomap FROM x LEFT JOIN edges e ON e.a = x.a AND e.b = x.b LEFT JOIN cm p ON p.doc_id = x.a LEFT JOIN cm q ON q.doc_id = x.b"),
     "sample_pools": Q.query(*_C, _BRIDGES, _COM, _POOLS, "rk AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY md5('32|' || a || '|' || b), a, b) AS r FROM pl)", "SELECT ['puente', 'largo', 'intra', 'inter'][p + 1] AS grupo, a, b FROM rk WHERE r <= [20, 20, 40, 40][p + 1]"),
 }

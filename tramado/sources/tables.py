@@ -38,10 +38,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def working_folder(spark: SparkSession) -> str:
     """The folder shared by all executors, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (tests, a single machine) a local folder is made, once per session.
+    Only where the setting is missing on a single machine (tests) a local folder is made, once per session; on a cluster
+    executors couldn't read it, so that raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tramado.local.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tramado-")
         spark.conf.set("spark.tramado.local.dir", folder)
     return folder.rstrip("/")
