@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,25 @@ def test_digests_and_checks(spark, tmp_path, rows):
         S.only_allowed(found, ("archivo",))
 
 
+def test_matrix_draws_probe_dump_and_lock(spark, tmp_path):
+    m = np.arange(12, dtype=np.float32).reshape(4, 3)
+    np.savez(tmp_path / "m.npz", m)
+    got = {r.fila: list(r.v) for r in S.read_matrix(spark, str(tmp_path / "m.npz")).collect()}
+    assert got == {i: m[i].tolist() for i in range(4)}
+    df = spark.createDataFrame([("h1", 2.0), ("h0", 5.0), ("h1", 1.0)], "hilo string, x double")
+    S.write_draws(df, str(tmp_path / "draws"), "hilo", "x")
+    assert {r.clave: list(r.valores) for r in S.read_draws(spark, str(tmp_path / "draws")).collect()} == {"h0": [5.0], "h1": [1.0, 2.0]}
+    S.write_draws(df.limit(0), str(tmp_path / "none"), "hilo", "x")
+    assert S.read_draws(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "s.json").write_text(json.dumps({"chosen": {"tau": 0.45}}))
+    assert S.probe(spark, str(tmp_path / "s.json"), "chosen.tau", "double") == 0.45 and S.probe(spark, str(tmp_path / "s.json"), "chosen.x", "double") is None
+    assert S.dump(df, None) is df and S.dump(df, str(tmp_path / "dump")).count() == 3 and (tmp_path / "dump").exists()
+    S.lock({"tier": "L2"}, {"tier": "L2"})
+    for flags in ({"tier": "L1"}, {}, {"tier": "L2", "more": 1}):
+        with pytest.raises(ValueError):
+            S.lock(flags, {"tier": "L2"})
+
+
 def test_seal_is_order_free(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(50)], "a int, b string")
     assert S.seal(df).first() == S.seal(df.repartition(5).select("b", "a")).first()

@@ -35,23 +35,20 @@ def corpus(spark, tmp_path_factory):
 
 def test_nulls_draw_the_configured_replicates_and_find_a_signal(spark, corpus):
     got = T.null_permuted(spark, corpus).collect()
-    assert {r.sorteos for r in got} == {DEFAULT.replicates} and min(r.p_bajo for r in got) <= 0.005
+    assert {r.sorteos for r in got} == {DEFAULT.replicates} and min(r.p_rafaga for r in got) <= 0.005
     one = T.null_significant(spark, corpus).first()
-    assert one.hilos == 20 and 9 <= one.con_senal <= 12
+    assert one.hilos == 20 and 9 <= one.rafaga <= 12 and 9 <= one.corto <= 12 and one.sin_senal <= 0.55
     assert {r.sorteos for r in T.null_pseudo(spark, corpus).collect()} == {DEFAULT.replicates}
     assert {r.rep for r in T.stability_jitter(spark, corpus).collect()} == set(range(1, 21))
 
 
-def test_durations_of_permuted_dates(spark, corpus):
-    """The kernel by stratum gives what joining all permuted dates gives."""
-    pool = T._dated(spark, corpus).withColumn("anio", F.year("fecha"))
-    days = T.thread_days(spark, corpus).select("hilo", "doc_id", "fecha")
-    length = F.datediff(F.max("fecha"), F.min("fecha")).alias("dur")
-    null = X.permuted_dates(pool, ["anio", "fuente"], 7, 20260731).join(days.select("hilo", "doc_id"), "doc_id").groupBy("hilo", "rep").agg(length)
-    want = X.empirical_p(days.groupBy("hilo").agg(length), null, ["hilo"], "dur")
-    cols = ["hilo", "dur", "sorteos", "p_alto", "p_bajo"]
-    got = X.permuted_durations(pool, days, 7, 20260731)
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+def test_every_document_gets_every_date(spark):
+    """Over many replicates a document of a stratum gets each of its dates about as often; each replicate is a permutation."""
+    df = spark.createDataFrame([(f"{i:02d}", dt.date(2020, 1, 1) + dt.timedelta(days=i), "s") for i in range(12)], "doc_id string, fecha date, s string")
+    got = X.permuted_dates(df, df, ["s"], 400, 3).groupBy("doc_id", "fecha").count().collect()
+    assert len(got) == 144 and all(12 <= r["count"] <= 65 for r in got)
+    one = X.permuted_dates(df, df, ["s"], 400, 3).groupBy("rep").agg(F.count_distinct("fecha").alias("k")).select("k").distinct().collect()
+    assert [r.k for r in one] == [12]
 
 
 def test_graph_of_neighbours_links_all_vectors(spark, tmp_path):

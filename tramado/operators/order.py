@@ -46,7 +46,7 @@ def places(df: DataFrame, keys: list[str], order: list[Column], name: str, size:
     key may hold any part of the table: rows are split by ranges of keys and order, not by key."""
     x = ordinal(df, [*[F.col(k) for k in keys], *order], "_n")
     if not keys:
-        return x.withColumn(name, F.col("_n") - 1).crossJoin(F.broadcast(df.agg(F.count("*").alias(size)))).drop("_n")
+        return x.withColumns({name: F.col("_n") - 1, size: F.lit(df.count())}).drop("_n")
     first = x.groupBy(*keys).agg(F.min("_n").alias("_f"), F.count("*").alias(size))
     return x.join(first, keys).withColumn(name, F.col("_n") - F.col("_f")).drop("_n", "_f")
 

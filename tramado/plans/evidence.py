@@ -10,6 +10,7 @@ from ..operators import corpus as C
 from ..operators import graph as G
 from ..operators import pairs as P
 from ..operators import sampling as M
+from ..operators.order import places
 from ..sources.tables import Scratch, table
 from . import sql as Q
 from . import threads as H
@@ -42,6 +43,24 @@ def thread_moved(spark: SparkSession, d: str) -> DataFrame:
     return now.join(then, "doc_id", "left_anti")
 
 
+def thread_order(spark: SparkSession, d: str) -> DataFrame:
+    """Dated documents of each thread in order of day, then of id."""
+    x = places(H.thread_days(spark, d).select("hilo", "doc_id", "fecha"), ["hilo"], [F.col("fecha"), F.col("doc_id")], "k", "m")
+    return x.select("hilo", "doc_id", F.col("fecha").cast("string").alias("fecha"), (F.col("k") + 1).alias("orden"))
+
+
+def sample_isolates(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty documents in no thread."""
+    return M.simple(H.thread_isolates(spark, d).select("id"), 20, 41, "id")
+
+
+def subthread_signed(spark: SparkSession, d: str) -> DataFrame:
+    """Assigned documents with the signature, project and territory, of their node; empty without one."""
+    a = table(spark, d, "node_subhilo_assignment").where("doc_id is not null and subhilo_primario is not null and not coalesce(abstuvo, false)").groupBy("doc_id").agg(F.min("subhilo_primario").alias("subhilo"))
+    s = table(spark, d, "h0000_02_node_metrics").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.concat_ws("|", "objeto", "territorio")).alias("firma"))
+    return a.join(s, "doc_id", "left").select("doc_id", "subhilo", F.coalesce("firma", F.lit("")).alias("firma"))
+
+
 def graph_shared(spark: SparkSession, d: str) -> DataFrame:
     """How many referents the ends of an accepted edge share, and the highest anchor weight among them."""
     r, f = frequencies(spark, d)
@@ -121,7 +140,7 @@ def sample_pools(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    thread_families, thread_family_summary, thread_moved, graph_shared, pair_plain, pair_weighted, agreement_errors, agreement_links, sample_pools,
+    thread_families, thread_family_summary, thread_moved, thread_order, sample_isolates, subthread_signed, graph_shared, pair_plain, pair_weighted, agreement_errors, agreement_links, sample_pools,
 )}
 
 _FAM = f"fm AS (SELECT id AS doc_id, {_family('llm_contentious_action_type')} AS familia FROM docs), tf AS (SELECT hilo, count(*) AS docs, count(DISTINCT familia) FILTER (familia <> 'otro') AS familias, coalesce(string_agg(DISTINCT familia, ';' ORDER BY familia) FILTER (familia <> 'otro'), '') AS nombres FROM threads LEFT JOIN fm USING (doc_id) WHERE n >= 3 GROUP BY 1)"
@@ -146,6 +165,9 @@ ORACLE = {
     "thread_families": Q.query(*_BASE, _FAM, "SELECT hilo, docs, familias, nombres FROM tf"),
     "thread_family_summary": Q.query(*_BASE, _FAM, "SELECT count(*) AS hilos, round(avg(familias), 6) AS media, round(avg((familias >= 2)::INT), 6) AS multifamilia FROM tf"),
     "thread_moved": Q.query(*_BASE, "l5 AS (SELECT * FROM edges WHERE w >= 0.55 AND (dias <= 365 OR s_ref >= 0.5))", Q.components("l5", "o5"), "big AS (SELECT comp FROM o5 GROUP BY 1 HAVING count(*) >= 3)", "SELECT doc_id, hilo FROM threads WHERE n >= 3 AND doc_id NOT IN (SELECT doc_id FROM o5 JOIN big USING (comp))"),
+    "thread_order": Q.query(*_BASE, Q.DAYS, "SELECT hilo, doc_id, fecha::VARCHAR AS fecha, row_number() OVER (PARTITION BY hilo ORDER BY fecha, doc_id) AS orden FROM days"),
+    "sample_isolates": Q.query(*_BASE, "SELECT id FROM docs WHERE id NOT IN (SELECT doc_id FROM threads) ORDER BY md5('41|' || id), id LIMIT 20"),
+    "subthread_signed": "WITH a AS (SELECT doc_id, min(subhilo_primario) AS subhilo FROM node_subhilo_assignment WHERE doc_id IS NOT NULL AND subhilo_primario IS NOT NULL AND NOT coalesce(abstuvo, false) GROUP BY 1), s AS (SELECT doc_id, min(concat_ws('|', objeto, territorio)) AS firma FROM h0000_02_node_metrics WHERE doc_id IS NOT NULL GROUP BY 1) SELECT a.doc_id, subhilo, coalesce(firma, '') AS firma FROM a LEFT JOIN s USING (doc_id)",
     "graph_shared": Q.query(Q.DOCS, Q.REFS, Q.EDGES, _E45, _IDF, "j AS (SELECT a, b, count(*) AS k, max(idf) AS m FROM e45 JOIN refs x ON x.doc_id = a JOIN refs y ON y.doc_id = b AND y.tipo = x.tipo AND y.referente = x.referente JOIN freq f ON f.tipo = x.tipo AND f.referente = x.referente GROUP BY ALL)", "SELECT e45.a, e45.b, coalesce(k, 0)::BIGINT AS compartidos, round(m, 6) AS idf_max FROM e45 LEFT JOIN j USING (a, b)"),
     "pair_plain": Q.query(Q.DOCS, Q.REFS, _IDF, _PLAIN, "SELECT doc_i, doc_j, dias, round(s_ref, 6) AS s_ref FROM sc WHERE s_ref > 0 AND NOT (dias > 365 AND s_ref < 0.5)"),
     "pair_weighted": Q.query(Q.DOCS, Q.REFS, _IDF, _SCORED, _EMB, "x AS (SELECT scored.*, list_sum(list_transform(list_zip(p.v, q.v), lambda z: z[1] * z[2])) AS e FROM scored JOIN vc p ON p.doc_id = doc_i JOIN vc q ON q.doc_id = doc_j)", "SELECT doc_i, doc_j, dias, round(s_ref, 6) AS s_ref, round(e, 6) AS s_emb, round(0.7::DOUBLE * s_ref + 0.3::DOUBLE * e, 6) AS w FROM x"),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +38,72 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def probe(spark: SparkSession, path: str, field: str, kind: str):
+    """One value of a JSON summary by its path of fields (``a.b``), or null where it lacks it."""
+    text = spark.read.text(path, wholetext=True)
+    got = text.select(F.get_json_object("value", "$." + field).cast(kind)).first()
+    return got[0] if got else None
+
+
+def read_matrix(spark: SparkSession, path: str, array: str = "arr_0") -> DataFrame:
+    """``(archivo, fila, v)``: the rows of a dense matrix kept in numpy archives, a file or a folder of them. A file is
+    one task, so large matrices come in several."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                with np.load(io.BytesIO(data), allow_pickle=False) as archive:
+                    m = np.atleast_2d(archive[array]).astype(np.float32)
+                for at in range(0, len(m), 10_000):
+                    part = m[at : at + 10_000]
+                    v = pa.ListArray.from_arrays(np.arange(0, part.size + 1, m.shape[1], dtype=np.int32), part.ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(part)), pa.array(np.arange(at, at + len(part))), v], ["archivo", "fila", "v"])
+
+    return files.mapInArrow(rows, "archivo string, fila long, v array<float>")
+
+
+def write_draws(df: DataFrame, path: str, key: str, value: str) -> None:
+    """Draws of a null as numpy archives, one per part of the table: in each, an array per ``key``, in order. All draws of
+    a key are in one archive; the parts are written by the executors to ``path``, with a row ``(archivo, claves)`` each."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = io.BytesIO()
+            np.savez_compressed(out, **{k: np.asarray(v) for k, v in sorted(zip(pdf[key], pdf[value]))})
+            yield pd.DataFrame({"claves": [len(pdf)], "contenido": [out.getvalue()]})
+
+    lists = df.groupBy(F.col(key).cast("string").alias(key)).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias(value))
+    lists.mapInPandas(pack, "claves int, contenido binary").write.mode("errorifexists").parquet(path)
+
+
+def read_draws(spark: SparkSession, path: str) -> DataFrame:
+    """``(clave, valores)`` from what :func:`write_draws` wrote."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for data in pdf["contenido"]:
+                with np.load(io.BytesIO(data), allow_pickle=False) as archive:
+                    yield pd.DataFrame({"clave": archive.files, "valores": [archive[k].tolist() for k in archive.files]})
+
+    return spark.read.parquet(path).select("contenido").mapInPandas(unpack, "clave string, valores array<double>")
+
+
+def dump(df: DataFrame, path: str | None) -> DataFrame:
+    """The table as it is; where a path is given, written there too and read back, so that it is computed once."""
+    if not path:
+        return df
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lock(flags: dict[str, object], locked: dict[str, object]) -> None:
+    """Raise unless every flag of a locked experiment has the value it was locked with, and there is no other flag."""
+    wrong = {k: (locked.get(k), flags.get(k)) for k in sorted({*flags, *locked}) if k not in flags or k not in locked or flags[k] != locked[k]}
+    if wrong:
+        raise ValueError(f"flags differ from the locked ones (locked, given): {wrong}")
+
+
 def read_texts(spark: SparkSession, path: str, page_mark: str | None = None) -> DataFrame:
     """One row ``value`` per file; page marks become line breaks."""
     t = spark.read.text(path, wholetext=True)
