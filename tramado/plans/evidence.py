@@ -14,7 +14,7 @@ from ..operators.order import places
 from ..sources.tables import Scratch, table
 from . import sql as Q
 from . import threads as H
-from .corpus import _family, docs, refs
+from .corpus import _family, docs
 from .review import _FINAL, _final, _w
 from .threads import _BASE, _E45, _IDF, _SCORED, TAU, edges, frequencies, threads
 from .topology import _BRIDGES, _C, accepted

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import scalars as S
 from ..functions.text import token_jaccard
 from ..operators import agreement as A
 from ..operators import corpus as C

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..config import DEFAULT
 from ..functions import scalars as S
@@ -99,7 +98,8 @@ def thread_tau(spark: SparkSession, d: str) -> DataFrame:
 
 
 def thread_profiles(spark: SparkSession, d: str) -> DataFrame:
-    p = H.profiles(threads(spark, d).where(F.col("n") >= DEFAULT.min_thread), refs(spark, d))
+    scratch = Scratch(spark, "profiles")  # both are used twice
+    p = H.profiles(scratch.write(threads(spark, d).where(F.col("n") >= DEFAULT.min_thread)), scratch.write(refs(spark, d)))
     return p.select("hilo", "docs", F.col("desde").cast("string").alias("desde"), F.col("hasta").cast("string").alias("hasta"), F.round("anios", 6).alias("anios"), "objeto", "territorio", "actor")
 
 
