@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from ..functions.text import token_jaccard
 from ..operators import corpus as C
 from ..operators import graph as G
 from ..operators import pairs as P
@@ -15,7 +17,7 @@ from ..sources.tables import Scratch, table
 from . import sql as Q
 from . import threads as H
 from .corpus import _family, docs
-from .review import _FINAL, _final, _w
+from .review import _FINAL, _final, _tok, _w
 from .threads import _BASE, _E45, _IDF, _SCORED, TAU, edges, frequencies, threads
 from .topology import _BRIDGES, _C, accepted
 
@@ -139,8 +141,36 @@ def sample_pools(spark: SparkSession, d: str) -> DataFrame:
     return M.stratified(one.withColumn("size", size), "p", F.col("size"), 32, "a", "b").select(name.alias("grupo"), "a", "b")
 
 
+def sample_subthread_pairs(spark: SparkSession, d: str, size: int = 30) -> DataFrame:
+    """Pairs of documents of one subthread, of different subthreads of one macrothread, and of a macrothread where one
+    abstained: ``size`` of each, evenly from the thirds of how alike their titles are; where a third has too few, the
+    others fill up by their next ranks.
+
+    Pairs of a group aren't listed: its documents, in random order, are taken two by two."""
+    scratch = Scratch(spark, "subpairs")
+    x = table(spark, d, "node_subhilo_assignment").where("doc_id is not null and macrohilo_id is not null").groupBy("doc_id").agg(F.min("macrohilo_id").alias("m"), F.min("subhilo_primario").alias("s"), F.max(F.coalesce("abstuvo", F.lit(False))).alias("abs"))
+    x = scratch.write(x.withColumn("s", F.when(~F.col("abs"), F.col("s"))))
+    sure = x.where("s is not null")
+
+    def two(df: DataFrame, key: Column, seed: int, name: str, keep: str) -> DataFrame:
+        r = M.ranked(df.withColumn("key", key), "key", seed, "doc_id").withColumn("r", F.floor((F.col("k") - 1) / 2))
+        one, other = (F.min_by(F.struct("doc_id", "s", "abs"), "k").alias("x"), F.max_by(F.struct("doc_id", "s", "abs"), "k").alias("y"))
+        p = r.groupBy("key", "r").agg(one, other, F.count("*").alias("n")).where("n = 2").where(keep)
+        return p.select(F.lit(name).alias("grupo"), F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
+
+    pairs = two(sure, F.concat_ws("|", "m", "s"), 51, "intra", "true").union(two(sure, F.col("m"), 52, "inter", "x.s <> y.s")).union(two(x, F.col("m"), 53, "abstencion", "x.abs <> y.abs"))
+    title = docs(spark, d).select(F.col("id").alias("doc_id"), "titulo")
+    j = pairs.join(title.select(F.col("doc_id").alias("a"), F.col("titulo").alias("ta")), "a").join(title.select(F.col("doc_id").alias("b"), F.col("titulo").alias("tb")), "b")
+    j = scratch.write(j.select("grupo", "a", "b", F.coalesce(F.round(token_jaccard(F.col("ta"), F.col("tb")), 6), F.lit(0.0)).alias("s")))
+    j = places(j, ["grupo"], [F.col("s"), F.col("a"), F.col("b")], "k", "n").withColumn("tercio", F.floor(F.col("k") * 3 / F.col("n")).cast("int"))
+    first = M.stratified(j.withColumn("cell", F.concat_ws("|", "grupo", "tercio")), "cell", size, 54, "a", "b")
+    rank = F.row_number().over(W.partitionBy("grupo", "tercio").orderBy(M.ticket(54, "a", "b"), "a", "b"))
+    filled = F.row_number().over(W.partitionBy("grupo").orderBy("rank", "tercio"))
+    return first.withColumn("rank", rank).withColumn("f", filled).where(F.col("f") <= size).select("grupo", "a", "b", "tercio")
+
+
 QUERIES = {f.__name__: f for f in (
-    thread_families, thread_family_summary, thread_moved, thread_order, sample_isolates, subthread_signed, graph_shared, pair_plain, pair_weighted, agreement_errors, agreement_links, sample_pools,
+    thread_families, thread_family_summary, thread_moved, thread_order, sample_isolates, subthread_signed, graph_shared, pair_plain, pair_weighted, agreement_errors, agreement_links, sample_pools, sample_subthread_pairs,
 )}
 
 _FAM = f"fm AS (SELECT id AS doc_id, {_family('llm_contentious_action_type')} AS familia FROM docs), tf AS (SELECT hilo, count(*) AS docs, count(DISTINCT familia) FILTER (familia <> 'otro') AS familias, coalesce(string_agg(DISTINCT familia, ';' ORDER BY familia) FILTER (familia <> 'otro'), '') AS nombres FROM threads LEFT JOIN fm USING (doc_id) WHERE n >= 3 GROUP BY 1)"
@@ -161,7 +191,21 @@ _POOLS = (
     "pl AS (SELECT a, b, min(p) AS p FROM (SELECT a, b, 0 AS p FROM br UNION ALL SELECT a, b, 1 FROM ls UNION ALL SELECT a, b, CASE WHEN ga = gb THEN 2 ELSE 3 END FROM nr WHERE ga IS NOT NULL AND gb IS NOT NULL) GROUP BY ALL)"
 )
 _EMB = "vc AS (SELECT vec_id::VARCHAR AS doc_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings)"
+_SIM = f"CASE WHEN len({_tok('x.titulo')}) > 0 AND len({_tok('y.titulo')}) > 0 THEN len(list_intersect({_tok('x.titulo')}, {_tok('y.titulo')}))::DOUBLE / len(list_distinct(list_concat({_tok('x.titulo')}, {_tok('y.titulo')}))) ELSE 0.0::DOUBLE END"
+_two = lambda name, src, key, seed, keep: (
+    f"SELECT '{name}' AS grupo, least(p.doc_id, q.doc_id) AS a, greatest(p.doc_id, q.doc_id) AS b FROM "
+    f"(SELECT *, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY md5('{seed}|' || doc_id), doc_id) - 1 AS k FROM {src}) p JOIN "
+    f"(SELECT *, {key} AS key, row_number() OVER (PARTITION BY {key} ORDER BY md5('{seed}|' || doc_id), doc_id) - 1 AS k FROM {src}) q ON q.key = p.key AND q.k = p.k + 1 AND p.k % 2 = 0 WHERE {keep}"
+)
+_SUBPAIRS = (
+    "x0 AS (SELECT doc_id, min(macrohilo_id) AS m, CASE WHEN NOT max(coalesce(abstuvo, false)) THEN min(subhilo_primario) END AS s, max(coalesce(abstuvo, false)) AS abs FROM node_subhilo_assignment WHERE doc_id IS NOT NULL AND macrohilo_id IS NOT NULL GROUP BY 1), x1 AS (SELECT * FROM x0 WHERE s IS NOT NULL), "
+    f"pr AS ({_two('intra', 'x1', chr(39).join(['m || ', '|', ' || s']), 51, 'true')} UNION ALL {_two('inter', 'x1', 'm', 52, 'p.s <> q.s')} UNION ALL {_two('abstencion', 'x0', 'm', 53, 'p.abs <> q.abs')}), "
+    f"sm AS (SELECT grupo, a, b, round({_SIM}, 6) AS s FROM pr JOIN docs x ON x.id = a JOIN docs y ON y.id = b), "
+    "tc AS (SELECT *, ((row_number() OVER (PARTITION BY grupo ORDER BY s, a, b) - 1) * 3 // count(*) OVER (PARTITION BY grupo))::INT AS tercio FROM sm), "
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY grupo, tercio ORDER BY md5('54|' || a || '|' || b), a, b) AS r FROM tc), fl AS (SELECT *, row_number() OVER (PARTITION BY grupo ORDER BY r, tercio) AS f FROM rk)"
+)
 ORACLE = {
+    "sample_subthread_pairs": Q.query(Q.DOCS, _SUBPAIRS, "SELECT grupo, a, b, tercio FROM fl WHERE f <= 30"),
     "thread_families": Q.query(*_BASE, _FAM, "SELECT hilo, docs, familias, nombres FROM tf"),
     "thread_family_summary": Q.query(*_BASE, _FAM, "SELECT count(*) AS hilos, round(avg(familias), 6) AS media, round(avg((familias >= 2)::INT), 6) AS multifamilia FROM tf"),
     "thread_moved": Q.query(*_BASE, "l5 AS (SELECT * FROM edges WHERE w >= 0.55 AND (dias <= 365 OR s_ref >= 0.5))", Q.components("l5", "o5"), "big AS (SELECT comp FROM o5 GROUP BY 1 HAVING count(*) >= 3)", "SELECT doc_id, hilo FROM threads WHERE n >= 3 AND doc_id NOT IN (SELECT doc_id FROM o5 JOIN big USING (comp))"),
