@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scalars import hash_number
 from ..sources.tables import Scratch
+from .order import places, primes
+from .partitions import recall_by_group
+from .sampling import ticket
 
 #: From so many edges a component's bridges are found by joins; steps of a task that searches from every vertex.
 LARGE = 200_000
@@ -502,17 +511,21 @@ def _map_run(near: dict[str, dict[str, float]], seed: int) -> tuple[float, dict[
         graph = merged
 
 
+def _weights(rows: Iterable[tuple[str, str, float]]) -> dict[str, dict[str, float]]:
+    near: dict[str, dict[str, float]] = {}
+    for a, b, w in rows:
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    return dict(sorted(near.items()))
+
+
 def communities(edges: DataFrame, comps: DataFrame, method: str, seeds: Iterable[int] = (0,), resolution: float | None = None) -> DataFrame:
     """``(comp, semilla, doc_id, comunidad)`` by ``louvain``, ``leiden`` (with refinement), ``cpm`` (constant Potts model,
     refined; by default the resolution is the component's density) or ``infomap``, one run per seed. Communities are
     numbered by their smallest member. Runs are spread over tasks; a run holds one component."""
 
     def kernel(comp, a_, b_, w_, seed, parts):
-        near: dict[str, dict[str, float]] = {}
-        for a, b, w in zip(a_, b_, w_):
-            near.setdefault(a, {})[b] = w
-            near.setdefault(b, {})[a] = w
-        near = dict(sorted(near.items()))
+        near = _weights(zip(a_, b_, w_))
         n, m = len(near), len(a_)
         if method == "infomap":
             label = _map_equation(near, seed)
@@ -526,6 +539,59 @@ def communities(edges: DataFrame, comps: DataFrame, method: str, seeds: Iterable
     return _spread(runs, kernel, "comp string, semilla int, doc_id string, comunidad int")
 
 
+def _parted(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The root of each vertex of the edges given: one root per component."""
+    top: dict[str, str] = {}
+
+    def root(v: str) -> str:
+        while top[v] != v:
+            top[v] = v = top[top[v]]
+        return v
+
+    for a, b in pairs:
+        top.setdefault(a, a)
+        top.setdefault(b, b)
+        top[root(a)] = root(b)
+    return {v: root(v) for v in top}
+
+
+def _ticket(*parts: object) -> int:
+    """The number that ``scalars.hash_number`` gives these parts."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def kept_pairs(edges: DataFrame, comps: DataFrame, percent: int, replicates: int, seed: int, large: int = LARGE) -> DataFrame:
+    """``(comp, rep, recuperado)``: share of a component's pairs that stay together when about ``percent`` in a hundred
+    vertices are dropped by hash; replicates that leave a component no edge give no row. What is left of a component lies
+    in it, so a component's replicates are one kernel call and nothing is copied by replicate; components of more than
+    ``large`` edges are done by joins. ``comps`` may have vertices without edges."""
+
+    def kernel(comp, a, b, w, part, n):
+        vertices, out = set(a) | set(b), []
+        for rep in range(1, replicates + 1):
+            left = {v for v in vertices if _ticket(seed, rep, v) % 100 >= percent}
+            top = _parted((x, y) for x, y in zip(a, b) if x in left and y in left)
+            if top:
+                out.append((comp, rep, sum(m * (m - 1) // 2 for m in Counter(top.values()).values()) / (int(n) * (int(n) - 1) / 2)))
+        return out
+
+    scratch = Scratch(edges.sparkSession, "kept")
+    size = comps.groupBy("comp").agg(F.count("*").cast("int").alias("parts"))
+    m = edges.join(comps.withColumnRenamed("doc_id", "a"), "a").groupBy("comp").agg(F.count("*").alias("m"))
+    wide = scratch.write(m.where(F.col("m") > large).select("comp"))
+    schema = "comp string, rep int, recuperado double"
+    few = comps.join(wide, "comp", "left_anti")
+    small = _spread(_packed(edges, few).join(size, "comp").withColumn("part", F.lit(0)), kernel, schema)
+    if wide.isEmpty():
+        return small
+    big = scratch.write(comps.join(wide, "comp", "left_semi"))
+    e = edges.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).join(big.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    stays = lambda c: F.pmod(hash_number(F.lit(seed), F.col("rep"), F.col(c)), F.lit(100)) >= percent
+    again = components(e.where(stays("a") & stays("b")).select("rep", "a", "b"), ["rep"]).select("rep", "doc_id", F.col("comp").alias("grupo"))
+    r = recall_by_group(big.select("doc_id", F.col("comp").alias("grupo")), again, ["rep"])
+    return small.union(r.select(F.col("grupo").alias("comp"), "rep", "recuperado"))
+
+
 def coassignment(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of runs in which the two ends of an edge are in one community: ``(a, b, parte)``. Only linked pairs are
     compared, so nothing grows with the square of a community."""

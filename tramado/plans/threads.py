@@ -243,12 +243,10 @@ def stability_drop(spark: SparkSession, d: str, reps: int = DROPS) -> DataFrame:
     thread is fragile if it keeps under half in a quarter of them."""
     scratch = Scratch(spark, "drop")
     e = scratch.write(edges(spark, d).where(P.accepted(F.lit(TAU))))
-    kept = M.drop_share(docs(spark, d).select(F.col("id").alias("doc_id")), 10, reps, 5, "doc_id")
-    k = scratch.write(kept)
-    sub = e.join(k.select("rep", F.col("doc_id").alias("a")), "a").join(k.select("rep", F.col("doc_id").alias("b")), ["rep", "b"])
-    again = G.components(sub.select("rep", "a", "b"), ["rep"]).select("rep", "doc_id", F.col("comp").alias("grupo"))
-    base = G.components(e.select("a", "b")).select("doc_id", F.col("comp").alias("grupo"))
-    r = R.recall_by_group(base, again, ["rep"]).groupBy("grupo").agg(F.avg("recuperado").alias("media"), F.avg((F.col("recuperado") < 0.5).cast("double")).alias("bajo"))
+    ids = docs(spark, d).select("id")
+    both = e.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    r = G.kept_pairs(scratch.write(both), scratch.write(G.components(e.select("a", "b"))), 10, reps, 5)
+    r = r.groupBy(F.col("comp").alias("grupo")).agg(F.avg("recuperado").alias("media"), F.avg((F.col("recuperado") < 0.5).cast("double")).alias("bajo"))
     return r.select("grupo", F.round("media", 6).alias("media"), (F.col("bajo") >= 0.25).alias("fragil"))
 
 
