@@ -35,6 +35,11 @@ def folder(spark, tmp_path_factory):
     return d
 
 
+def test_jitter_joins_before_it_copies(spark, folder):
+    plan = T.stability_jitter(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
+
+
 def test_kept_pairs_by_kernel_by_joins_and_by_copies(spark, graph, rows):
     e, c = graph
     kernel = rows(G.kept_pairs(e, c, 10, 6, 5))

@@ -253,14 +253,13 @@ def stability_drop(spark: SparkSession, d: str, reps: int = DROPS) -> DataFrame:
 def stability_jitter(spark: SparkSession, d: str, reps: int = DROPS) -> DataFrame:
     """Edges that stay when dates move by up to seven days, over replicates: shared, lost, and their Jaccard."""
     day = _dated(spark, d).select("doc_id", "fecha")
-    copies = day.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"), "fecha")
-    moved = copies.select("rep", "doc_id", S.jitter(F.col("fecha"), 7, F.lit(9), F.col("rep"), F.col("doc_id")).alias("fecha"))
-    e = edges(spark, d).join(day.select(F.col("doc_id").alias("a")), "a").join(day.select(F.col("doc_id").alias("b")), "b")
-    j = e.drop("dias").join(moved.select(F.col("doc_id").alias("a"), "rep", F.col("fecha").alias("fa")), "a").join(moved.select(F.col("doc_id").alias("b"), "rep", F.col("fecha").alias("fb")), ["b", "rep"])
-    j = j.withColumn("dias", F.abs(F.datediff("fa", "fb")))
+    e = edges(spark, d).join(day.select(F.col("doc_id").alias("a"), F.col("fecha").alias("fa")), "a").join(day.select(F.col("doc_id").alias("b"), F.col("fecha").alias("fb")), "b")
+    # Replicates come after the joins: no join holds the documents once per replicate.
+    j = e.select("a", "b", "fa", "fb", "w", "s_ref", P.accepted(F.lit(TAU)).alias("antes"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    fa, fb = (S.jitter(F.col("f" + c), 7, F.lit(9), F.col("rep"), F.col(c)) for c in "ab")
+    j = j.withColumn("dias", F.abs(F.datediff(fa, fb)))
     now = (F.col("dias") > 0) & (F.col("dias") <= DEFAULT.far_days) & P.accepted(F.lit(TAU))
-    base = e.where(P.accepted(F.lit(TAU))).select("a", "b", F.lit(True).alias("antes"))
-    x = j.join(base, ["a", "b"], "left").groupBy("rep").agg(F.count_if(now & F.col("antes")).alias("comunes"), F.count_if(now | F.coalesce("antes", F.lit(False))).alias("todas"))
+    x = j.groupBy("rep").agg(F.count_if(now & F.col("antes")).alias("comunes"), F.count_if(now | F.coalesce("antes", F.lit(False))).alias("todas"))
     return x.select("rep", "comunes", "todas", F.round(F.try_divide("comunes", "todas"), 6).alias("jaccard"))
 
 
