@@ -40,6 +40,21 @@ def test_jitter_joins_before_it_copies(spark, folder):
     assert plan.index("Generate explode") < plan.index("Join")
 
 
+def test_pseudo_threads_broadcast_no_draws(spark):
+    days = spark.createDataFrame([(f"d{i:03d}", dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(300)], "doc_id string, fecha date")
+    sets = X.pseudo_threads(days, spark.createDataFrame([(3,), (8,)], "n long"), 50, 7)
+    assert "SortMergeJoin [pos" in sets._jdf.queryExecution().executedPlan().toString()
+    assert {(r.n, r.k) for r in sets.groupBy("n", "rep").agg(F.count_distinct("doc_id").alias("k")).collect()} == {(3, 3), (8, 8)}
+
+
+def test_sizes_join_values_not_threads(spark, folder, monkeypatch):
+    """Equal threads cost no more draws than one of them."""
+    seen, whole = [], X.empirical_p
+    monkeypatch.setattr(X, "empirical_p", lambda real, null, keys, stat: (seen.append(null.count()), whole(real, null, keys, stat))[1])
+    got = T.null_sizes(spark, folder, 20).collect()
+    assert len(got) == 8 and {r.sorteos for r in got} == {20} and max(seen) <= 2 * 20
+
+
 def test_kept_pairs_by_kernel_by_joins_and_by_copies(spark, graph, rows):
     e, c = graph
     kernel = rows(G.kept_pairs(e, c, 10, 6, 5))

@@ -72,7 +72,8 @@ def pseudo_threads(docs: DataFrame, sizes: DataFrame, replicates: int, seed: int
     d = d.withColumn("pos", F.pmod(S.hash_number(F.lit(seed), F.col("n"), F.col("rep"), F.col("slot")), F.lit(max(total, 1))))
     first = d.groupBy("n", "rep", "pos").agg(F.min("slot").alias("slot"))
     pick = first.withColumn("k", F.row_number().over(W.partitionBy("n", "rep").orderBy("slot"))).where("k <= n")
-    return pick.join(pos, "pos").select("n", "rep", "doc_id", "fecha")
+    # Spark takes exploded rows for as few as they come from and would send them all to the driver to broadcast them.
+    return pick.hint("merge").join(pos, "pos").select("n", "rep", "doc_id", "fecha")
 
 
 def empirical_p(real: DataFrame, null: DataFrame, keys: list[str], stat: str) -> DataFrame:

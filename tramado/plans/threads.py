@@ -199,9 +199,11 @@ def null_sizes(spark: SparkSession, d: str, reps: int = DEFAULT.replicates) -> D
     real = scratch.write(X.gaps(days, ["hilo"]).withColumnRenamed("docs", "n"))
     sets = X.pseudo_threads(_dated(spark, d).select("doc_id", "fecha"), real.select("n"), reps, 20260732)
     null = scratch.write(X.gaps(sets, ["n", "rep"]).select("n", "rep", "max_gap", "dur"))
-    j = real.select("hilo", "n").join(null, "n")
-    g = X.empirical_p(real, j, ["hilo"], "max_gap").select("hilo", "max_gap", "sorteos", F.col("p_alto").alias("p_pausa"))
-    s = X.empirical_p(real, j, ["hilo"], "dur").select("hilo", "dur", F.col("p_bajo").alias("p_corto"), F.col("p_alto").alias("p_largo"))
+    # Threads of one size and value have one p, so draws meet values, not threads.
+    p = lambda stat: X.empirical_p(real.select("n", stat, F.col(stat).alias("v")).distinct(), null.join(real.select("n", F.col(stat).alias("v")).distinct(), "n"), ["n", "v"], stat)
+    of = lambda stat: real.select("hilo", "n", F.col(stat).alias("v")).join(p(stat), ["n", "v"])
+    g = of("max_gap").select("hilo", "max_gap", "sorteos", F.col("p_alto").alias("p_pausa"))
+    s = of("dur").select("hilo", "dur", F.col("p_bajo").alias("p_corto"), F.col("p_alto").alias("p_largo"))
     x = _tested(g.join(s, "hilo").join(real.select("hilo", "tras_gap"), "hilo"), [("p_pausa", "q_pausa"), ("p_corto", "q_corto"), ("p_largo", "q_largo")])
     again = (F.round("q_pausa", 6) <= DEFAULT.fdr) & (F.col("tras_gap") >= 3)
     cols = [F.round(c, 6).alias(c) for c in ("p_pausa", "q_pausa", "p_corto", "q_corto", "p_largo", "q_largo")]
