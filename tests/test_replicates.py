@@ -69,3 +69,24 @@ def test_drop_makes_no_components_by_replicate(spark, folder, monkeypatch):
     keyed, whole = [], G.components
     monkeypatch.setattr(G, "components", lambda e, keys=None: (keyed.append(keys), whole(e, keys))[1])
     assert T.stability_drop(spark, folder).count() == 8 and keyed == [None]
+
+
+def test_perturbed_communities_as_run_one_by_one(spark, graph):
+    e, c = graph
+    got = {(r.porcentaje, r.semilla): (r.retencion, r.vi) for r in G.perturbed(e, c, [(5, 1), (10, 3)]).collect()}
+    name = F.concat_ws("-", "comp", "comunidad").alias("grupo")
+    base = G.communities(e, c, "louvain").select("doc_id", name)
+    for (share, seed), x in got.items():
+        less = M.drop_share(e, share, 1, seed, "a", "b").drop("rep")
+        r = R.compare(base, G.communities(less, G.components(less.select("a", "b")), "louvain").select("doc_id", name)).first()
+        assert x == pytest.approx((r.retencion, r.vi))
+    assert len(got) == 2 and 0.3 < got[5, 1][0] < 1
+
+
+def test_communities_are_perturbed_in_one_pass(spark, folder, monkeypatch):
+    ran, whole = [], G.components
+    monkeypatch.setattr(G, "components", lambda e, keys=None: (ran.append(keys), whole(e, keys))[1])
+    got = P.stability_communities(spark, folder).collect()
+    assert len(got) == 40 and len(ran) == 1
+    none = G.perturbed(*(x.limit(0) for x in P.accepted(spark, folder)), [(5, 1)]).collect()
+    assert [tuple(r) for r in none] == [(5, 1, None, None)]

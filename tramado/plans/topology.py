@@ -256,17 +256,8 @@ def graph_block_tree(spark: SparkSession, d: str) -> DataFrame:
 def stability_communities(spark: SparkSession, d: str) -> DataFrame:
     """Communities with a twentieth and a tenth of the edges dropped, over twenty seeds each: retention of pairs and
     variation of information against the communities of all edges."""
-    e, c = accepted(spark, d)
-    name = F.concat_ws("-", "comp", "comunidad").alias("grupo")
-    scratch = Scratch(spark, "perturbed")
-    base, out = scratch.write(G.communities(e, c, "louvain").select("doc_id", name)), None
-    for share in (5, 10):
-        for seed in range(1, 21):
-            less = scratch.write(M.drop_share(e, share, 1, seed, "a", "b").drop("rep"))
-            x = G.communities(less, G.components(less.select("a", "b")), "louvain").select("doc_id", name)
-            r = R.compare(base, x).select(F.lit(share).alias("porcentaje"), F.lit(seed).alias("semilla"), F.round("retencion", 6).alias("retencion"), F.round("vi", 6).alias("vi"))
-            out = r if out is None else out.union(r)
-    return out
+    x = G.perturbed(*accepted(spark, d), [(share, seed) for share in (5, 10) for seed in range(1, 21)])
+    return x.select("porcentaje", "semilla", F.round("retencion", 6).alias("retencion"), F.round("vi", 6).alias("vi"))
 
 
 def sample_unlike_neighbours(spark: SparkSession, d: str) -> DataFrame:
