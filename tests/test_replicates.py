@@ -90,3 +90,20 @@ def test_communities_are_perturbed_in_one_pass(spark, folder, monkeypatch):
     assert len(got) == 40 and len(ran) == 1
     none = G.perturbed(*(x.limit(0) for x in P.accepted(spark, folder)), [(5, 1)]).collect()
     assert [tuple(r) for r in none] == [(5, 1, None, None)]
+
+
+def test_mixed_paths_by_brute_force(spark, graph):
+    e, _ = graph
+    kinds = {f"v{i:03d}": (f"o{i % 3}", f"t{i % 5}") for i in range(160) if i % 7}
+    df = spark.createDataFrame([(v, *k) for v, k in kinds.items()], "doc_id string, o string, t string")
+    got = {r.rep: (r.caminos, r.heterogeneos) for r in G.mixed_paths(e, df, "o", "t", 4, 17).collect()}
+    donor = {(r.rep, r.doc_id): r.donante for r in M.donors(df.select("doc_id"), "doc_id", 4, 17).collect()} | {(0, v): v for v in kinds}
+    near = {}
+    for a, b, _ in e.collect():
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    for rep in range(5):
+        ends = [[kinds[donor[rep, x]] for x in n if x in kinds] for n in near.values()]
+        pairs = [p for n in ends for p in combinations(n, 2)]
+        assert got[rep] == (len(pairs), sum(x[0] != y[0] and x[1] != y[1] for x, y in pairs))
+    assert len(got) == 5 and len(O.primes(4)) == 4

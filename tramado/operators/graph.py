@@ -632,6 +632,63 @@ def perturbed(edges: DataFrame, comps: DataFrame, runs: list[tuple[int, int]]) -
     return x.select("porcentaje", "semilla", F.try_divide("pab", "pa").alias("retencion"), F.try_divide("h", "n").alias("vi"))
 
 
+def mixed_paths(edges: DataFrame, kinds: DataFrame, first: str, second: str, replicates: int, seed: int) -> DataFrame:
+    """``(rep, caminos, heterogeneos)``: paths of two steps, and those whose ends share neither ``first`` nor ``second``,
+    with these two (columns of ``kinds``, by ``doc_id``) as they are (0) and permuted among vertices as in
+    :func:`sampling.donors`. Ends are counted by group around each middle, never paired: all pairs, less those that share
+    one, less those that share the other, plus those that share both.
+
+    Vertices are not copied by replicate: a kernel reckons the place of each neighbour's donor and looks up its groups,
+    twelve bytes for each vertex of ``kinds``, which every executor and, once, the driver hold."""
+    spark, scratch = edges.sparkSession, Scratch(edges.sparkSession, "paths")
+    other = places(kinds.select("doc_id"), [], [ticket(f"{seed}b", "doc_id"), F.col("doc_id")], "at", "n")
+    known = scratch.write(kinds.join(other, "doc_id"))
+    for name, keys in (("g0", [first]), ("g1", [second]), ("g2", [first, second])):  # a group goes by the first place in it
+        known = known.join(known.groupBy(*keys).agg(F.min("at").cast("int").alias(name)), keys)
+    known = scratch.write(known.select("doc_id", F.col("at").cast("int").alias("at"), F.col("n").cast("int").alias("n"), "g0", "g1", "g2"))
+    got = known.select("at", "g0", "g1", "g2").toArrow()
+    groups = np.zeros((3, got.num_rows), np.int32)
+    for i in range(3):
+        groups[i, got.column("at").to_numpy()] = got.column(f"g{i}").to_numpy()
+    salts = [0] + [_ticket(seed, rep) for rep in range(1, replicates + 1)]
+    shared = spark.sparkContext.broadcast((groups, [0, *primes(replicates)], salts))
+    mine = places(kinds.select("doc_id"), [], [ticket(f"{seed}a", "doc_id"), F.col("doc_id")], "k", "m").select(F.col("doc_id").alias("other"), F.col("k").cast("int").alias("k"))
+    near = both_ways(edges).select("doc_id", "other").join(mine, "other").join(known.select(F.col("doc_id").alias("other"), "at"), "other")
+    packed = near.groupBy("doc_id").agg(F.collect_list("k").alias("k"), F.collect_list("at").alias("at"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        groups, prime, salt = shared.value
+        paths, mixed, any_ = 0, np.zeros(len(prime), np.int64), False
+        for batch in batches:
+            any_ = any_ or batch.num_rows > 0
+            lists = batch.column("k")
+            size = lists.value_lengths().to_numpy()
+            middle = np.repeat(np.arange(len(size)), size)
+            use = size[middle] > 1
+            middle = middle[use] << 32
+            k, at = (batch.column(c).flatten().to_numpy()[use].astype(np.int64) for c in ("k", "at"))
+            size = size.astype(np.int64)
+            here = int((size * (size - 1) // 2).sum())
+            paths += here
+            for rep in range(len(prime) if len(k) else 0):
+                spot = (k * prime[rep] + salt[rep]) % groups.shape[1] if rep else at
+                mixed[rep] += here - _alike(middle | groups[0, spot]) - _alike(middle | groups[1, spot]) + _alike(middle | groups[2, spot])
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(prime), dtype=np.int32)), pa.array(np.full(len(prime), paths)), pa.array(mixed)], ["rep", "caminos", "heterogeneos"])
+
+    n = spark.sparkContext.defaultParallelism * 4
+    x = packed.repartition(n, F.xxhash64("doc_id")).mapInArrow(run, "rep int, caminos long, heterogeneos long")
+    return x.groupBy("rep").agg(F.sum("caminos").alias("caminos"), F.sum("heterogeneos").alias("heterogeneos"))
+
+
+def _alike(key: np.ndarray) -> int:
+    """How many pairs have equal keys."""
+    key = np.sort(key)
+    ends = np.flatnonzero(np.concatenate((key[1:] != key[:-1], [True])))
+    n = np.diff(ends, prepend=-1)
+    return int((n * (n - 1) // 2).sum())
+
+
 def coassignment(runs: DataFrame, edges: DataFrame) -> DataFrame:
     """Share of runs in which the two ends of an edge are in one community: ``(a, b, parte)``. Only linked pairs are
     compared, so nothing grows with the square of a community."""

@@ -154,21 +154,11 @@ def community_given(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_heterogeneous(spark: SparkSession, d: str, reps: int = 300) -> DataFrame:
     """Paths of two steps whose ends share neither project nor territory, against documents' referents permuted: by
-    replicate, 0 being the real assignment. Ends are counted by group around each middle, never paired: all pairs, less
-    those that share a project, less those that share a territory, plus those that share both."""
+    replicate, 0 being the real assignment."""
     e, c = accepted(spark, d)
     one = refs(spark, d).where("tipo <> 'actor'").groupBy("doc_id").pivot("tipo", ["objeto", "territorio"]).agg(F.min("referente"))
     r = Scratch(spark, "donors").write(one.na.drop().join(c.select("doc_id"), "doc_id", "left_semi"))
-    real = r.select(F.lit(0).alias("rep"), "doc_id", F.col("doc_id").alias("donante"))
-    maps = real.union(M.donors(r.select("doc_id"), "doc_id", reps, 17))
-    look = maps.join(r.withColumnRenamed("doc_id", "donante"), "donante").select("rep", F.col("doc_id").alias("other"), "objeto", "territorio")
-    n = G.both_ways(e).join(look, "other").groupBy("rep", "doc_id", "objeto", "territorio").agg(F.count("*").alias("n"))
-    pairs = lambda keys: n.groupBy("rep", *keys).agg(F.sum("n").alias("n")).groupBy("rep").agg(F.sum(S.pairs_of(F.col("n"))).alias("p"))
-    out = None
-    for sign, keys in ((1, ["doc_id"]), (-1, ["doc_id", "objeto"]), (-1, ["doc_id", "territorio"]), (1, ["doc_id", "objeto", "territorio"])):
-        x = pairs(keys).select("rep", (F.col("p") * sign).alias("p"), (F.col("p") * int(len(keys) == 1)).alias("caminos"))
-        out = x if out is None else out.union(x)
-    return out.groupBy("rep").agg(F.sum("caminos").cast("long").alias("caminos"), F.sum("p").cast("long").alias("heterogeneos"))
+    return G.mixed_paths(e, r, "objeto", "territorio", reps, 17)
 
 
 def graph_bridge_features(spark: SparkSession, d: str) -> DataFrame:
